@@ -21,6 +21,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(documents(spark, sf_dir))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.license_scan import license_scan
+
+    return license_scan(documents(spark, sf_dir))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,13 +40,49 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op7_license_scan": op7_license_scan,
     "op10_bpe": op10_bpe,
 }
 
 UPPER_TO_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+#: The notices of op7 as the brute-force comparison reads them.
+NOTICES = """
+('apache-2.0', ['2', '0', 'apache', 'license', 'licensed', 'the', 'under', 'version']),
+('bsd', ['and', 'are', 'binary', 'forms', 'in', 'modification', 'or', 'permitted', 'redistribution', 'source', 'use', 'with', 'without']),
+('cc-by-4.0', ['0', '4', 'a', 'attribution', 'commons', 'creative', 'international', 'is', 'license', 'licensed', 'this', 'under', 'work']),
+('cc-by-nc-4.0', ['0', '4', 'by', 'cc', 'licensed', 'nc', 'under']),
+('gpl-3.0', ['3', 'general', 'gnu', 'is', 'license', 'licensed', 'public', 'the', 'this', 'under', 'version', 'work']),
+('mit', ['license', 'mit', 'released', 'the', 'under']),
+('mit-grant', ['a', 'any', 'charge', 'copy', 'free', 'granted', 'hereby', 'is', 'obtaining', 'of', 'permission', 'person', 'software', 'this', 'to']),
+('mpl-2.0', ['0', '2', 'code', 'form', 'is', 'license', 'mozilla', 'of', 'public', 'source', 'subject', 'terms', 'the', 'this', 'to', 'v']),
+('public-domain', ['and', 'domain', 'free', 'into', 'is', 'public', 'released', 'software', 'the', 'this', 'unencumbered'])"""
+WORDS7 = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
 ORACLES = {
+    "op7_license_scan": f"""
+with d as (select doc_id, translate(coalesce(text, ''), {UPPER_TO_LOWER}) as t from documents),
+w as (select doc_id, regexp_extract_all(t, {WORDS7}) as w from d),
+p as (select doc_id, len(w) as n_words,
+  list_filter(range(len(w)), lambda i: w[i + 1] = 'cc' and coalesce(w[i + 2] = 'by', false)) as cc,
+  list_filter(range(len(w)), lambda i: w[i + 1] = 'general' and coalesce(w[i + 2] = 'public' and w[i + 3] = 'license', false)) as gpl,
+  list_filter(range(len(w)), lambda i: w[i + 1] = 'all' and coalesce(w[i + 2] = 'rights' and w[i + 3] = 'reserved', false)) as res
+  from w),
+b as (select doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), {WORDS7})) as block from d),
+n(label, tokens) as (values {NOTICES}),
+m as (select doc_id, label, max(len(list_intersect(block, tokens)) / len(tokens)) as best from b, n
+  where len(list_intersect(block, tokens)) >= 0.8 * len(tokens) group by all),
+f as (select doc_id, list(label) as more, max(best) as best from m group by doc_id),
+s as (select p.*, list_concat(cc, list_concat(gpl, res)) as places,
+  list_concat(case when len(cc) > 0 then ['cc-by'] else [] end, list_concat(case when len(gpl) > 0 then ['gpl'] else [] end,
+    case when len(res) > 0 then ['reserved'] else [] end)) as named, coalesce(more, []) as more, coalesce(best, 0.0) as best
+  from p left join f using (doc_id))
+select doc_id, n_words, len(places)::bigint as n_base, list_min(places) as first_word, list_max(places) as last_word,
+  array_to_string(named, ',') as base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(named, more))), ',') as labels,
+  greatest(best, case when len(places) > 0 then 1.0 else 0.0 end)::double as score
+from s""",
     "op5_exact_dedup": """
 select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
   doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
