@@ -9,6 +9,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.quality_rules import quality
+
+    return quality(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.exact_dedup import exact_duplicates
 
@@ -38,6 +44,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_license_scan": op7_license_scan,
@@ -83,6 +90,26 @@ select doc_id, n_words, len(places)::bigint as n_base, list_min(places) as first
   array_to_string(list_sort(list_distinct(list_concat(named, more))), ',') as labels,
   greatest(best, case when len(places) > 0 then 1.0 else 0.0 end)::double as score
 from s""",
+    "op3_quality_rules": r"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, string_split(t, chr(10)) as ls from d),
+g as (select doc_id, unnest(range(len(w) - 2)) as i, w from w where len(w) >= 3),
+h as (select doc_id, i, count(*) over (partition by doc_id, w[i + 1], w[i + 2], w[i + 3]) as n from g),
+r as (select doc_id, count(distinct x) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as x from h where n > 1)
+  group by doc_id),
+m as (select doc_id, t, len(ls) as n_lines, len(w)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g'))) as n_symbols,
+  len(list_filter(ls, lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))
+    - len(list_distinct(list_filter(ls, lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))) as n_dup_lines,
+  length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) as capitals,
+  length(t) - length(regexp_replace(t, '!', '', 'g')) as bangs,
+  length(regexp_replace(t, '[^\pL]', '', 'g')) as letters,
+  coalesce(n_repeat_words, 0) as n_repeat_words from w left join r using (doc_id)),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or n_symbols > 0.2 * n_words or word_chars < 2 * n_words or word_chars > 15 * n_words
+    or n_dup_lines > 0.5 * n_lines or capitals > 0.5 * word_chars or bangs > 0.5 * n_words or letters < 0.5 * word_chars) as kept
+from f""",
     "op5_exact_dedup": """
 select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
   doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
