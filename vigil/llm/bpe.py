@@ -17,10 +17,13 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
+
+from vigil.llm.arrow_text import slices
 
 FIRST_CHAR = 0x4E00  # byte b stands as chr(FIRST_CHAR + b): letters that no normaliser or splitter treats specially
+SLICE = 2_000_000  # bytes of text whose ids are held at a time
 CACHE = 400_000  # matches whose ids a task remembers before it starts anew
 
 
@@ -133,18 +136,6 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def _small(batch: pa.RecordBatch, column: str, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with bounded text, so that the ids of one slice fit in memory."""
-    start = size = 0
-    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
-        if size and size + (n or 0) > chars:
-            yield batch.slice(start, i - start)
-            start, size = i, 0
-        size += n or 0
-    if batch.num_rows > start:
-        yield batch.slice(start)
-
-
 def encoded(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     """``docs`` with the array of token ids of each text; a null text has no tokens.
 
@@ -156,13 +147,13 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "tex
     def run(batches):
         c = codec(vocabulary, pattern)
         for whole in batches:
-            for batch in _small(whole, text_col):
+            for batch in slices(whole, text_col, SLICE):
                 ids = c.encode_all(batch.column(text_col).to_pylist())
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids), pa.int32()))
                 yield batch.append_column(ids_col, lists)
 
-    return rows.mapInArrow(run, rows.schema.add(ids_col, "array<int>"))
+    return rows.mapInArrow(run, StructType(list(rows.schema)).add(ids_col, "array<int>"))
 
 
 def decoded(rows: DataFrame, vocabulary: str, pattern: str, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
@@ -175,7 +166,7 @@ def decoded(rows: DataFrame, vocabulary: str, pattern: str, ids_col: str = "toke
             out = [None if ids is None else c.decode(np.array(ids, np.int64)) for ids in batch.column(ids_col).to_pylist()]
             yield batch.append_column(bytes_col, pa.array(out, pa.binary()))
 
-    return rows.mapInArrow(run, rows.schema.add(bytes_col, "binary"))
+    return rows.mapInArrow(run, StructType(list(rows.schema)).add(bytes_col, "binary"))
 
 
 def token_digest(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,7 +181,7 @@ def token_digest(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
         c = codec(vocabulary, pattern)
         sha = hashlib.sha256
         for whole in batches:
-            for batch in _small(whole, text_col):
+            for batch in slices(whole, text_col, SLICE):
                 n, ids_sha, text_sha = [], [], []
                 for ids in c.encode_all(batch.column(text_col).to_pylist()):
                     n.append(len(ids))
