@@ -45,6 +45,12 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.ngram_join import join_digest
+
+    return join_digest(documents(spark, sf_dir))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,6 +68,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_license_scan": op7_license_scan,
+    "op9_ngram_join": op9_ngram_join,
     "op10_bpe": op10_bpe,
 }
 
