@@ -1,16 +1,72 @@
-"""Corpus preparation: language, repeated lines, near copies, mixture, tokens."""
+"""Corpus preparation: language, repeated lines, near copies, mixture, tokens.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet and reads again as the
+next stage's docs. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vigil.llm.bpe import encoded
+from vigil.llm.language import accepted_languages
+from vigil.llm.line_dedup import kept_lines
+from vigil.llm.mixing import mixed
+from vigil.llm.ngram_join import one_of_each
+from vigil.shared import written
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the language classifier rejects."""
+    return accepted_languages(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Long lines that stand in five documents or more remain in the last of them only; n_chars follows the text."""
+    kept = kept_lines(docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col("_kept")))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return one_of_each(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources by weight; a row for each round that takes a document."""
+    out = mixed(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens and the token ids."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = encoded(docs, path, public_tokenizers.PATTERN)
+    return ids.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
+
+
+STAGES = [
+    ("language ID", languages),
+    ("line dedup", lines),
+    ("near copies", near_copies),
+    ("mixture", mixture),
+    ("tokens", tokens),
+]
 
-STAGES: list = []
+#: Language identification and MinHash have no SQL; the tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
     return docs

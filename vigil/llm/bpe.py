@@ -18,7 +18,7 @@ from itertools import chain, islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from vigil.llm.arrow_text import slices
 
@@ -153,7 +153,7 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "tex
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids), pa.int32()))
                 yield batch.append_column(ids_col, lists)
 
-    return rows.mapInArrow(run, StructType(list(rows.schema)).add(ids_col, "array<int>"))
+    return rows.mapInArrow(run, StructType(list(rows.schema)).add(ids_col, ArrayType(IntegerType())))
 
 
 def decoded(rows: DataFrame, vocabulary: str, pattern: str, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:

@@ -1,11 +1,10 @@
 """Similarity join on word n-grams: MinHash bands, then verification on the full n-gram sets.
 
-Documents with the same n-gram set form a class, and only the class's smallest id takes part further. Band and row
-counts are the cheapest that find a pair at the threshold with the target recall. A band's bucket may hold a third of
-all documents, so its members are never paired with each other: each is verified against the bucket's smallest
-document, and while a bucket has members that failed, the smallest of those is the next centre for all its members.
-A member that a centre covers needs no further one, so every member ends in a class of verified links, with work in
-proportion to members times centres.
+Documents with the same n-gram set form a class, and only one of them takes part further. Band and row counts are the
+most selective that find a pair at the threshold with the target recall. Buckets of a few members give pairs, which are
+verified on the full sets. A bucket may also hold thousands of texts, most of them a little less alike than the
+threshold: such crowds are cut into blocks, and each pair of blocks is compared in a task of its own, which returns a
+row per member (its number of links, and an id it is connected to) instead of the pairs.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,11 @@ from pyspark.sql import functions as F
 from vigil.llm.arrow_text import Words, mix, slices
 from vigil.shared import written
 
+FEW = 32  # members up to which a bucket is paired
+BLOCK = 512  # members of a block, at most about
+BLOCK_GRAMS = 1_000_000  # n-grams of a block, at most about
+COLUMNS = 4096  # n-grams that a block comparison takes at a time
+
 
 def bands_and_rows(threshold: float, recall: float, most_hashes: int = 140) -> tuple[int, int]:
     """The most selective (bands, rows) within ``most_hashes`` that find a pair at the threshold with this chance."""
@@ -109,34 +114,88 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def links(buckets: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Verified links (a, b, jaccard) between members (bucket, id) of shared buckets; see the module's text."""
-    found = []
-    done = None
-    members = buckets
-    centres = buckets.groupBy("bucket").agg(F.min("id").alias("a"))
+def _connected(linked: np.ndarray) -> np.ndarray:
+    """For each row the smallest row that links connect it to."""
+    label = np.arange(len(linked))
     while True:
-        pairs = members.join(centres, "bucket").filter("id != a").select("bucket", "a", F.col("id").alias("b"))
-        pairs = written(pairs.select("bucket", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("b").alias("member"), F.col("a").alias("centre")), "pairs")
-        new = pairs.select("a", "b").distinct()
-        if done is not None:
-            new = new.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        checked = written(verified(new, sets, threshold), "checked")
-        found.append(checked)
-        done = found[0]
-        for more in found[1:]:
-            done = done.unionByName(more)
-        # members that this centre, or any earlier one of the bucket, covers are settled
-        judged = pairs.join(done.select("a", "b", "linked"), ["a", "b"])
-        covered = judged.filter("linked").select("bucket", "member")
-        ended = judged.select("bucket", F.col("centre").alias("member"))
-        settled_now = written(covered.unionByName(ended).distinct(), "settled")
-        settled = settled_now if len(found) == 1 else written(settled.unionByName(settled_now).distinct(), "settled")
-        open_members = members.join(settled, (members["bucket"] == settled["bucket"]) & (members["id"] == settled["member"]), "left_anti")
-        centres = written(open_members.groupBy("bucket").agg(F.min("id").alias("a")), "centres")
-        if centres.isEmpty():
-            return done.filter("linked").select("a", "b", "jaccard")
-        members = written(members.join(centres.select("bucket"), "bucket", "left_semi"), "members")
+        least = np.where(linked, label[None, :], len(label)).min(axis=1, initial=len(label))
+        new = np.minimum(label, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def block_links(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """All links among the sets of one pair of blocks, as (id, links, label): their number and one id they lead to."""
+    rows = rows.sort_values(["block", "id"])
+    sizes = rows["grams"].map(len).to_numpy()
+    grams, code = np.unique(np.concatenate(rows["grams"].to_numpy()), return_inverse=True)
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    common = np.flatnonzero(np.bincount(code, minlength=len(grams)) > 1)
+    place = np.full(len(grams), -1)
+    place[common] = np.arange(len(common))
+    column = place[code]
+    owner, column = owner[column >= 0], column[column >= 0]
+    both = np.zeros((len(rows), len(rows)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for at in range(0, len(common), COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((len(rows), min(COLUMNS, len(common) - at)), np.float32)
+        part[owner[lo:hi], column[lo:hi] - at] = 1
+        both += part @ part.T
+    linked = both >= threshold * (sizes[:, None] + sizes[None, :] - both)
+    np.fill_diagonal(linked, False)
+    block = rows["block"].to_numpy()
+    if block[0] != block[-1]:
+        linked &= block[:, None] != block[None, :]
+    ids = rows["id"].to_numpy()
+    out = pd.DataFrame({"id": ids, "links": linked.sum(axis=1).astype(np.int64), "label": ids[_connected(linked)]})
+    return out[out["links"] > 0]
+
+
+def crowded_links(crowded: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Links among the members of crowded buckets (bucket, id, n): (id, cluster) and (id, links, label).
+
+    Buckets that share members form a cluster. A cluster is cut into blocks of bounded size, and each pair of blocks is
+    compared as two matrices in a task of its own, which returns a row per member and never the pairs.
+    """
+    first = crowded.groupBy("bucket").agg(F.min("id").alias("b"))
+    edges = crowded.join(written(first, "first"), "bucket").select(F.col("id").alias("a"), "b").filter("a != b").distinct()
+    clusters = components(edges).withColumnRenamed("component", "cluster")
+    members = written(crowded.select("id", "n").distinct().join(clusters, "id"), "clusters")
+    blocks = members.groupBy("cluster").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks")
+    )
+    dealt = members.join(written(blocks, "blocks"), "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    met = dealt.select("cluster", "i", "j", "block", "id").join(sets, "id").groupBy("cluster", "i", "j").applyInPandas(
+        lambda rows: block_links(rows, threshold), "id long, links long, label long"
+    )
+    return members.select("id", "cluster"), written(met, "crowded")
+
+
+def links(buckets: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) that connect what verified links connect, and the number of links of each id.
+
+    ``buckets``: bucket, members (of the bucket), id, n (its n-grams). Buckets of up to ``FEW`` members are paired, which
+    bounds the pairs by a multiple of the rows; larger ones go through ``crowded_links``.
+    """
+    clusters, met = crowded_links(buckets.filter(F.col("members") > FEW).select("bucket", "id", "n"), sets, threshold)
+    few = buckets.filter(F.col("members") <= FEW)
+    left = few.select("bucket", F.col("id").alias("a"), F.col("n").alias("n_a"))
+    right = few.select("bucket", F.col("id").alias("b"), F.col("n").alias("n_b"))
+    near = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+    pairs = left.join(right, "bucket").filter(near).select("a", "b").distinct()
+    in_a = clusters.select(F.col("id").alias("a"), F.col("cluster").alias("cluster_a"))
+    in_b = clusters.select(F.col("id").alias("b"), F.col("cluster").alias("cluster_b"))
+    new = pairs.join(in_a, "a", "left").join(in_b, "b", "left").filter(~F.coalesce(F.col("cluster_a") == F.col("cluster_b"), F.lit(False)))
+    found = written(verified(written(new.select("a", "b"), "pairs"), sets, threshold).filter("linked").select("a", "b"), "links")
+    edges = found.unionByName(met.select(F.col("id").alias("a"), F.col("label").alias("b")))
+    ends = found.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).cast("long").alias("links"))
+    return edges, ends.unionByName(met.select("id", "links")).groupBy("id").agg(F.sum("links").alias("links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -161,18 +220,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8,
-    recall: float = 0.999, most_hashes: int = 140,
+    recall: float = 0.999, most_hashes: int = 140, row_col: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Documents and links.
+    """(row, id, text_hash, node, component), one per row, and (id, links), the number of links of a node.
 
-    Documents: (row, id, text_hash, node, component), one per row; node is the class of equal n-gram sets, component
+    node is the class of equal n-gram sets, component
     the class that verified links connect it to, both numbered by the row of their smallest id, and null for texts
     without words, which are alone. Links: (a, b, jaccard) between different nodes.
     """
     bands, rows = bands_and_rows(threshold, recall, most_hashes)
     text = F.col(text_col)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    marked = written(signatures(source.withColumn("row", F.monotonically_increasing_id()), bands, rows, size), "signatures")
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    numbered = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    marked = written(signatures(numbered, bands, rows, size), "signatures")
     classes = marked.filter("set is not null").groupBy("set", "n").agg(
         F.min(F.struct(F.col("id").isNull(), "id", "row", "text_hash")).alias("least"), F.min("bands").alias("bands")
     )
@@ -180,9 +241,9 @@ def near_duplicates(
         classes.select("set", "n", "bands", F.col("least.row").alias("node"), F.col("least.id").alias("id"), F.col("least.text_hash").alias("text_hash")),
         "classes",
     )
-    keys = classes.select(F.col("node").alias("id"), F.posexplode("bands").alias("band", "key"))
-    keys = keys.select("id", F.xxhash64("band", "key").alias("bucket"))
-    shared = written(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("bucket"), "shared")
+    keys = classes.select(F.col("node").alias("id"), "n", F.posexplode("bands").alias("band", "key"))
+    keys = keys.select("id", "n", F.xxhash64("band", "key").alias("bucket"))
+    shared = written(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "shared")
     buckets = written(keys.join(shared, "bucket"), "buckets")
     needed = classes.join(buckets.select(F.col("id").alias("node")).distinct(), "node").select(
         F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "node"
@@ -190,8 +251,8 @@ def near_duplicates(
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
     texts = source.join(needed.hint("shuffle_hash"), same).select(F.col("node").alias("id"), "text")
     sets = written(gram_sets(texts, size).dropDuplicates(["id"]), "sets")
-    found = written(links(buckets, sets, threshold), "links")
-    parts = components(found.select("a", "b")).select(F.col("id").alias("_node"), "component")
+    edges, degree = links(buckets, sets, threshold)
+    parts = components(edges).select(F.col("id").alias("_node"), "component")
     numbered = written(
         classes.join(parts, F.col("node") == F.col("_node"), "left").select(
             "set", "n", "node", F.coalesce("component", "node").alias("component")
@@ -199,7 +260,7 @@ def near_duplicates(
         "components",
     )
     members = marked.select("row", "id", "text_hash", "set", "n").join(numbered, ["set", "n"], "left")
-    return members.select("row", "id", "text_hash", "node", "component"), found
+    return members.select("row", "id", "text_hash", "node", "component"), degree
 
 
 def join_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -210,13 +271,13 @@ def join_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text, and one of spaces only, has no n-gram and stands alone; a text of fewer words than ``size`` is one n-gram.
     Rows without an id take part, an id being preferred as copy_of and class_id; repeated rows are copies.
     """
-    members, found = near_duplicates(docs, id_col, text_col, **options)
+    members, degree = near_duplicates(docs, id_col, text_col, **options)
     members = written(members, "members")
-    degree = found.select(F.explode(F.array("a", "b")).alias("_node")).groupBy("_node").agg(F.count(F.lit(1)).alias("links"))
+    degree = degree.withColumnRenamed("id", "_node_id")
     names = members.groupBy("node", "component").agg(F.min("id").alias("copy_of")).filter("node is not null")
     classes = names.groupBy("component").agg(F.min("copy_of").alias("class_id")).withColumnRenamed("component", "_component")
     names = written(
-        names.join(classes, F.col("component") == F.col("_component")).join(degree, F.col("node") == F.col("_node"), "left")
+        names.join(classes, F.col("component") == F.col("_component")).join(degree, F.col("node") == F.col("_node_id"), "left")
         .select(F.col("node").alias("_node"), "copy_of", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links")),
         "names",
     )
@@ -229,15 +290,10 @@ def join_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class of near copies: that of the smallest id (and first row); columns as they are."""
-    members, _ = near_duplicates(docs, id_col, text_col, **options)
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    members, _ = near_duplicates(rows, id_col, text_col, row_col="_row", **options)
     order = F.struct(F.col("id").isNull(), "id", "row")
-    members = written(members, "members")
     group = F.coalesce("component", F.lit(-1) - F.col("row"))
-    stays = members.groupBy(group.alias("group")).agg(F.min_by(F.struct("id", "text_hash"), order).alias("stays"))
-    stays = stays.select(F.col("stays.id").alias("_id"), F.col("stays.text_hash").alias("_hash"))
-    text_hash = F.xxhash64(F.col(text_col))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash"))
-    # equal (id, text) rows were counted as copies: one of them stays
-    counted = stays.groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("_times"))
-    found = docs.join(counted.hint("shuffle_hash"), same)
-    return found
+    stays = members.groupBy(group.alias("group")).agg(F.min_by("row", order).alias("_stays"))
+    kept = rows.join(written(stays.select("_stays"), "stays").hint("shuffle_hash"), F.col("_row") == F.col("_stays"))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
