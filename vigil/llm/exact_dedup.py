@@ -22,7 +22,7 @@ def _positions(key: str, bits: int) -> Column:
     return F.array(*[F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(bits)) for seed in (1, 2)])
 
 
-def _bit_is_set(page: Column, bit: Column) -> Column:
+def bit_is_set(page: Column, bit: Column) -> Column:
     byte = F.conv(F.hex(F.substring(page, (bit / 8).cast("int") + 1, 1)), 16, 10).cast("int")
     return F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
 
@@ -45,7 +45,7 @@ def possibly_repeated(rows: DataFrame, key: str, bits: int) -> DataFrame:
         page = F.broadcast(pages.select(F.col("page").alias(f"_page{i}"), F.col("bitmap").alias(f"_bitmap{i}")))
         at = F.col("_at")[i]
         out = out.join(page, (at / PAGE_BITS).cast("long") == F.col(f"_page{i}"), "left").withColumn(
-            f"_set{i}", _bit_is_set(F.col(f"_bitmap{i}"), at % PAGE_BITS)
+            f"_set{i}", bit_is_set(F.col(f"_bitmap{i}"), at % PAGE_BITS)
         ).drop(f"_page{i}", f"_bitmap{i}")
     return out.withColumn("possible", F.col("_set0") & F.col("_set1")).drop("_at", "_set0", "_set1")
 

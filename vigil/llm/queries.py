@@ -27,6 +27,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
 
+def op4_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.phrase_automata import without_repeats
+
+    return without_repeats(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.exact_dedup import exact_duplicates
 
@@ -65,6 +71,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language": op2_language,
     "op3_quality_rules": op3_quality_rules,
+    "op4_phrase_automata": op4_phrase_automata,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_license_scan": op7_license_scan,
@@ -131,6 +138,16 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   not (base_failed or n_symbols > 0.2 * n_words or word_chars < 2 * n_words or word_chars > 15 * n_words
     or n_dup_lines > 0.5 * n_lines or capitals > 0.5 * word_chars or bangs > 0.5 * n_words or letters < 0.5 * word_chars) as kept
 from f""",
+    "op4_phrase_automata": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+p as (select doc_id, unnest(range(len(w) - 12)) as i, w from d where len(w) >= 13),
+h as (select doc_id, i, min(doc_id) over (partition by array_to_string(w[i + 1:i + 13], ' ')) as least from p),
+r as (select distinct doc_id, unnest(range(i, i + 13)) as i from h where least < doc_id),
+k as (select doc_id, unnest(w) as word, unnest(range(len(w))) as i from d),
+s as (select k.doc_id, count(r.i) as n_removed, string_agg(word, ' ' order by k.i) filter (where r.i is null) as kept
+  from k left join r on k.doc_id = r.doc_id and k.i = r.i group by k.doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join s using (doc_id)""",
     "op5_exact_dedup": """
 select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
   doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
