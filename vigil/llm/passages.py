@@ -94,3 +94,17 @@ def texts_of(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, max
         bit_is_set(F.col("bitmap"), F.col("at") % PAGE_BITS)
     )
     return likely.select("id", "text").join(needed.hint("shuffle_hash"), "id")
+
+
+def own_text(texts: DataFrame) -> DataFrame:
+    """Of rows that share an id, the one whose word sequence is meant; one of those that repeat it."""
+
+    def run(batches):
+        for batch in batches:
+            keep = [
+                int.from_bytes(hashlib.sha256(joined(t).encode()).digest()[:8], "big", signed=True) == s
+                for t, s in zip(batch.column("text").to_pylist(), batch.column("seq").to_pylist(), strict=True)
+            ]
+            yield batch.filter(pa.array(keep))
+
+    return texts.mapInArrow(run, texts.schema).dropDuplicates(["id", "seq"])

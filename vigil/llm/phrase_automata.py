@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm.arrow_text import Words, slices
-from vigil.llm.passages import joined, minimisers, recurring, sequences, split_words, texts_of
+from vigil.llm.passages import minimisers, own_text, recurring, sequences, split_words, texts_of
 from vigil.shared import written
 
 GRAM = 6
@@ -89,7 +89,7 @@ def covered_words(docs: DataFrame, id_col: str, text_col: str, size: int, rows:
     wanted = anchors.join(wanted, "anchor").groupBy("seq").agg(F.collect_set("anchor").alias("wanted"))
     needed = written(wanted.join(firsts, "seq").select("id", "seq", "wanted"), "needed")
     texts = texts_of(docs, needed, id_col, text_col)
-    texts = written(_own_text(texts), "texts")
+    texts = written(own_text(texts), "texts")
     candidates = candidate_windows(texts, size)
     owned = written(recurring(candidates, "window", "id").withColumnRenamed("least", "owner"), "owned")
     shards = owned.count() // SHARD_WINDOWS + 1
@@ -108,20 +108,6 @@ def covered_words(docs: DataFrame, id_col: str, text_col: str, size: int, rows:
     return texts, written(ends, "ends")
 
 
-def _own_text(texts: DataFrame) -> DataFrame:
-    """Of rows that share an id, the one whose word sequence is meant; one of those that repeat it."""
-
-    def run(batches):
-        for batch in batches:
-            keep = [
-                int.from_bytes(hashlib.sha256(joined(t).encode()).digest()[:8], "big", signed=True) == s
-                for t, s in zip(batch.column("text").to_pylist(), batch.column("seq").to_pylist(), strict=True)
-            ]
-            yield batch.filter(pa.array(keep))
-
-    return texts.mapInArrow(run, texts.schema).dropDuplicates(["id", "seq"])
-
-
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept_sha256.
 

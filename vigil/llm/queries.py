@@ -51,6 +51,12 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.suffix_dedup import repeated_passages
+
+    return repeated_passages(documents(spark, sf_dir))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.ngram_join import join_digest
 
@@ -75,6 +81,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_license_scan": op7_license_scan,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_bpe": op10_bpe,
 }
