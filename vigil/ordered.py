@@ -48,3 +48,22 @@ def dense_codes(df: DataFrame, key: str, code: str) -> DataFrame:
     counts = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     local = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
     return spread.withColumn("_row", local).join(counts, "_part").select(key, (F.col("_before") + F.col("_row")).alias(code))
+
+
+def quantile(df: DataFrame, column: str, share: float, name: str) -> DataFrame:
+    """One row: the value at that share of the sorted non-null rows, interpolated, from counts per value."""
+    n = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    spread = n.repartitionByRange(F.col(column)).withColumn("_part", F.spark_partition_id())
+    parts = spread.groupBy("_part").agg(F.sum("_n").alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(
+        "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"), F.sum("_rows").over(Window.partitionBy()).alias("_all")
+    )
+    upto = F.sum("_n").over(Window.partitionBy("_part").orderBy(column))
+    placed = spread.withColumn("_upto", upto).join(parts, "_part").withColumn("_last", F.col("_before") + F.col("_upto") - 1)
+    at = (F.col("_all") - 1) * F.lit(float(share))
+    placed = placed.select(column, "_last", (F.col("_last") - F.col("_n") + 1).alias("_first"), at.alias("_at"))
+    low, high = F.floor("_at"), F.ceil("_at")
+    value = lambda rank: F.max(F.when(rank.between(F.col("_first"), F.col("_last")), F.col(column).cast("double")))
+    both = placed.agg(value(low).alias("_low"), value(high).alias("_high"), F.max(F.col("_at") - low).alias("_part"))
+    return both.select((F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias(name))
