@@ -76,3 +76,78 @@ def modes_cte(name: str, by: str, columns: list[str], source: str = "inc") -> st
         f"{name} as (select {by}, {picks} from (select {by}, c, v, row_number() over (partition by {by}, c order by count(*) desc, v) as k "
         f"from ({long}) where v is not null group by {by}, c, v) where k = 1 group by {by})"
     )
+
+
+def _faults(good: str, bad: str, by: int) -> str:
+    """``bad``: 'remainder=SQL text; ...'."""
+    return f"case event_id % {by} " + " ".join("when {} then {}".format(*x.strip().split("=", 1)) for x in bad.split(";")) + f" else {good} end"
+
+
+INCOMING_SQL = f"""
+raw as (
+  select 'INC-E' || event_id as incident_id,
+    {_faults("case event_type when 'click' then 'PROMO' when 'view' then 'ECONOMY' when 'error' then 'MEDIUM' when 'signup' then 'SMALL' else 'LARGE' end", "3='  PROMO '; 5='ARSON'; 7=''; 11=null", 97)} as crime_type,
+    {_faults("'Brand#' || event_id % 5", "13=null; 17='   '", 89)} as crime_category,
+    {_faults("case event_type when 'error' then 'Felony' when 'purchase' then 'Misdemeanor' else 'Infraction' end", "2='Grave'; 19=' Felony '; 23=null", 83)} as crime_severity,
+    {_faults("'NATION_' || user_id % 25", "4=null; 6=''; 8='ATLANTIS'; 10='  NATION_3'", 79)} as district,
+    {_faults("'Block ' || user_id % 7", "1=null; 2='  '", 73)} as neighborhood,
+    {_faults("(40.0e0 + (user_id % 25) * 0.01e0 + case when (props->>'k')::int >= 95 then 10 else 0 end)::varchar", "9='north'; 12='95.5'; 14='nan'; 15=null; 16='1_000'", 101)} as latitude,
+    {_faults("(-74.0e0 + (user_id % 5) * 0.02e0)::varchar", "18='-190'; 20='1d'; 21=''", 103)} as longitude,
+    {_faults("strftime(ts, '%Y-%m-%d')", "22='2024-02-30'; 24='2024-1-5'; 25='05/01/2024'; 26=null", 107)} as occurred_date,
+    {_faults("strftime(ts, '%H:%M')", "27='24:00'; 28='7:5'; 29='noon'; 30=''", 109)} as occurred_time,
+    {_faults("case event_id % 4 when 0 then 'Firearm' when 1 then 'None' when 2 then 'Knife' else 'Unknown' end", "31=null; 32=' false '", 71)} as weapon_used,
+    {_faults("case when event_id % 3 = 0 then 'Yes' else 'No' end", "33='maybe'; 34=' yes '; 35=null", 67)} as domestic_related,
+    {_faults("case when event_id % 5 = 0 then 'Yes' else 'No' end", "36='Y'; 37='YES'", 61)} as gang_related,
+    {_faults("case when event_id % 7 = 0 then 'Yes' else 'No' end", "38=''; 39=null", 59)} as property_damage,
+    {_faults("value::varchar", "40='-5'; 41='lots'; 42=null; 43=' 1e3 '; 44='12.9'", 53)} as estimated_loss,
+    case event_id % 6 when 0 then null when 1 then '' when 2 then '["a","b"]' when 3 then 'not json' when 4 then '[]' else '["k' || event_id % 10 || '"]' end as reasons,
+    ts as submitted_at, event_id
+  from events)"""
+
+_NUMBER_SQL = r"'^\s*[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?\s*$'"
+
+
+def num(x: str) -> str:
+    return f"case when regexp_matches({x}, {_NUMBER_SQL}) then replace(trim({x}), '_', '')::double end"
+
+
+def day(x: str) -> str:
+    return rf"case when regexp_matches({x}, '^\d{{4}}-\d{{1,2}}-\d{{1,2}}$') then try_cast({x} as date) end"
+
+
+def is_time(x: str) -> str:
+    return rf"coalesce(regexp_matches({x}, '^(2[0-3]|[01]?\d):[0-5]?\d$'), false)"
+
+
+def weight(x: str) -> str:
+    return f"(case {x} when 'Infraction' then 0.2e0 when 'Misdemeanor' then 0.5e0 when 'Felony' then 1.0e0 when 'Low' then 0.2e0 when 'Medium' then 0.5e0 when 'High' then 0.8e0 when 'Critical' then 1.0e0 else 0.5e0 end)"
+
+
+def risk_level(x: str, bounds: tuple = (35, 55, 75)) -> str:
+    return f"(case when {x} < {bounds[0]} then 'LOW' when {x} < {bounds[1]} then 'MODERATE' when {x} < {bounds[2]} then 'HIGH' else 'CRITICAL' end)"
+
+
+def minmax(x: str) -> str:
+    return f"(case when max({x}) over () - min({x}) over () < 1e-9 then 0.5e0 else ({x} - min({x}) over ()) / (max({x}) over () - min({x}) over ()) end)"
+
+
+ARMED = "lower(coalesce(weapon_used, 'Unknown')) not in ('unknown', 'none', 'no', '', 'nan')"
+
+
+def share(condition: str) -> str:
+    return f"avg(case when {condition} then 1.0e0 else 0.0e0 end)"
+
+
+BASELINE_CTE = f"""
+base_stats as (
+  select district, count(*) as incident_count, count(*)::double / (select greatest(max(occurred_date) - min(occurred_date), 1) from inc) as daily_rate,
+    {share("crime_severity = 'Felony'")} as felony_share, {share(ARMED)} as weapon_rate, {share("lower(domestic_related) = 'yes'")} as domestic_rate,
+    {share("lower(gang_related) = 'yes'")} as gang_rate, avg(estimated_loss) as avg_loss from inc where occurred_date is not null group by district),
+baseline as (
+  select district, incident_count, {", ".join(f"round_even({c} * 1000000, 0) / 1000000 as {c}" for c in ("daily_rate", "felony_share", "weapon_rate", "domestic_rate", "gang_rate", "avg_loss"))},
+    historical_risk from (select *, {rnd("greatest(0, least(100, " + " + ".join(f"{minmax(c)} * {k}" for c, k in (("daily_rate", 35), ("felony_share", 25), ("weapon_rate", 15), ("domestic_rate", 10), ("gang_rate", 10), ("avg_loss", 5))) + "))")} as historical_risk from base_stats))"""
+
+
+def with_incoming(sql: str, *ctes: str, history: bool = False) -> str:
+    parts = [*([HISTORY_SQL.strip()] if history else []), INCOMING_SQL.strip(), *ctes]
+    return "with " + ",\n".join(parts) + "\n" + sql

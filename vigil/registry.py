@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vigil.plans import dashboard
+from vigil.plans import cleaning, dashboard
 
-_PARTS = [dashboard]
+_PARTS = [dashboard, cleaning]
 
 
 def queries() -> dict:
