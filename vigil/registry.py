@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vigil.plans import cleaning, dashboard
+from vigil.plans import cleaning, dashboard, risk
 
-_PARTS = [dashboard, cleaning]
+_PARTS = [dashboard, cleaning, risk]
 
 
 def queries() -> dict:
