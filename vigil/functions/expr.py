@@ -107,3 +107,8 @@ def is_yes(x: Column) -> Column:
 
 def has_weapon(x: Column, none: list[str]) -> Column:
     return ~F.lower(F.coalesce(x, F.lit("Unknown"))).isin(none)
+
+
+def draw(key: str) -> Column:
+    """A number below 2^31 - 1 that depends on the row's key only."""
+    return F.pmod(F.pmod(F.col(key), F.lit(2147483647)) * 48271 + 11, F.lit(2147483647))

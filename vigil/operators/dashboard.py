@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.constants import FIXED_WEAPONS, MONTHS, PATTERN_BOUNDS, WEEKDAYS
-from vigil.functions.expr import level, rounded
+from vigil.functions.expr import draw, level, rounded
 from vigil.operators.aggregates import best, counts, marked, mean, modes, shares, yes_rate, yes_rate_of_all
 from vigil.ordered import quantile
 
@@ -148,8 +148,7 @@ def value_shares(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def bounded_sample(df: DataFrame, n: int) -> DataFrame:
     """``n`` rows drawn by a hash of the row key, the same ones each time."""
-    key = F.pmod(F.col("row_key") * 48271 + 11, F.lit(2147483647))
-    return df.withColumn("draw", key).orderBy("draw", "incident_id").limit(n).select("incident_id", "draw")
+    return df.withColumn("draw", draw("row_key")).orderBy("draw", "incident_id").limit(n).select("incident_id", "draw")
 
 
 def geo_density(df: DataFrame, digits: int = 2) -> DataFrame:

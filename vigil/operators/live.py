@@ -35,23 +35,26 @@ class Processed(NamedTuple):
     alerts: DataFrame
 
 
-def scored(known: Knowledge, arrived: DataFrame, window_days: int = 14) -> DataFrame:
-    """Valid incidents within the coverage with their dynamic risk; anomaly flags are taken from ``is_anomaly`` if there."""
+def scored(known: Knowledge, arrived: DataFrame, window_days: int = 14, recent: DataFrame | None = None) -> DataFrame:
+    """Valid incidents within the coverage with their dynamic risk.
+
+    ``recent`` has the districts and dates that recent activity is counted from, the arrived ones by default.
+    """
     checked = validate_basic(arrived, known.domains)
     records = within_coverage(incident_record(checked.filter("valid")), known.bounds)
     inside = records.filter("in_coverage")
-    dated = arrived.select("district", date_of(F.col("occurred_date")).alias("occurred_date"))
+    dated = (arrived if recent is None else recent).select("district", date_of(F.col("occurred_date")).alias("occurred_date"))
     emerging = emerging_hotspots(known.history, dated, window_days).select(F.col("location").alias("_location"), "ratio")
     based = baseline_lookup(inside, known.baseline).join(emerging, F.col("district") == F.col("_location"), "left").drop("_location")
     flags = {"is_anomaly": F.lit(False), "anomaly_score": F.lit(None).cast("double")}
     return dynamic_risk(based.withColumns({c: v for c, v in flags.items() if c not in based.columns}))
 
 
-def process_incidents(known: Knowledge, arrived: DataFrame, window_days: int = 14) -> Processed:
+def process_incidents(known: Knowledge, arrived: DataFrame, window_days: int = 14, recent: DataFrame | None = None) -> Processed:
     """All results of a batch. Incidents outside the coverage are stored as received, without an assessment."""
     checked = validate_basic(arrived, known.domains)
     records = within_coverage(incident_record(checked.filter("valid")), known.bounds)
-    rated = scored(known, arrived, window_days)
+    rated = scored(known, arrived, window_days, recent)
     status = F.when(F.col("in_coverage"), "Processed").otherwise("Received")
     return Processed(
         checked.filter("not valid").select("incident_id", "errors"), records.withColumn("status", status),

@@ -98,7 +98,7 @@ _FIELDS = ["weapon_used", "crime_severity", "victim_gender", "suspect_gender", "
 _add("value_shares", " ".join(_FIELDS), lambda h: d.value_shares(h, _FIELDS), " union all ".join(
     f"select '{c}' as field, {c} as value, n, share from ({_shares_sql(c)})" for c in _FIELDS))
 _add("bounded_sample", "incident_id row_key", lambda h: d.bounded_sample(h, 100), """
-select incident_id, (row_key * 48271 + 11) % 2147483647 as draw from inc order by draw, incident_id limit 100""")
+select incident_id, ((row_key % 2147483647) * 48271 + 11) % 2147483647 as draw from inc order by draw, incident_id limit 100""")
 _add("geo_density", "latitude longitude", d.geo_density, f"""
 select * from (select floor(latitude * 100 + 0.5)::bigint as lat_cell, floor(longitude * 100 + 0.5)::bigint as lon_cell, {COUNT} from inc group by all),
   (select {rnd('avg(latitude)', 5)} as centre_lat, {rnd('avg(longitude)', 5)} as centre_lon from inc)""")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vigil.plans import cleaning, dashboard, risk
+from vigil.plans import cleaning, dashboard, insights, learning, risk
 
-_PARTS = [dashboard, cleaning, risk]
+_PARTS = [dashboard, cleaning, risk, insights, learning]
 
 
 def queries() -> dict:
