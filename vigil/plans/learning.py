@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.functions.expr import draw
+from vigil.constants import PATTERN_BOUNDS
+from vigil.functions.expr import draw, level
 from vigil.operators import anomaly as a
 from vigil.operators import clusters as c
 from vigil.operators import insights
@@ -12,6 +13,7 @@ from vigil.operators import learning as m
 from vigil.operators.aggregates import modes
 from vigil.operators.dashboard import arrest_gap, loss_stats, pattern_risk, top_threat
 from vigil.plans.oracle import mean, modes_cte, rnd, with_history
+from vigil.shared import written
 from vigil.sources.incidents import history
 
 QUERIES: dict = {}
@@ -144,22 +146,24 @@ _add("investigation_drivers", lambda spark, sf_dir: m.drivers(
 
 
 def _briefing(spark, sf_dir):
-    """Per crime, district, time and weapon: the rating with the tree's prediction, the gap, the usual loss, the main threat."""
-    f = _gang_tree(spark, sf_dir, ("estimated_loss",))
-    combo = f.groupBy(*GANG).agg(F.max("prediction").alias("gang"), F.max("confidence").alias("gang_confidence"))
-    predicted = f.drop("prediction", "confidence").join(combo.withColumnsRenamed({x: f"_{x}" for x in GANG}), on=[F.col(x).eqNullSafe(F.col(f"_{x}")) for x in GANG])
-    rated = pattern_risk(predicted.withColumn("weapon_used", F.col("weapon_used")), F.lit(False)).join(combo, GANG)
-    rated = rated.withColumn("risk", F.when(F.col("gang") == "Yes", F.least(F.col("risk") + 20, F.lit(100.0))).otherwise(F.col("risk"))).drop("risk_level")
-    from vigil.constants import PATTERN_BOUNDS
-    from vigil.functions.expr import level
-
+    """Per crime, district, time and weapon: rating with the tree's prediction, chance of an arrest, gap, loss, main threat."""
+    f = written(_gang_tree(spark, sf_dir, ("estimated_loss",)), "briefing")
+    combo = f.filter("weapon_used is not null").groupBy(*GANG).agg(
+        F.max("prediction").alias("gang"), F.max("confidence").alias("gang_confidence"),
+        F.mode("crime_severity_code", deterministic=True).alias("crime_severity_code"),
+        *[F.max(f"{x}_code").alias(f"{x}_code") for x in GANG],
+    )
+    chance = m.knn_probability(f.filter("is_train and arrest_made is not null"), combo, CODES, F.col("arrest_made") == "Yes")
+    combo = combo.join(chance.withColumnRenamed("probability", "arrest_chance"), CODES).drop(*CODES)
+    rated = pattern_risk(f, F.lit(False)).drop("risk_level").join(combo, GANG)
+    risk = F.when(F.col("gang") == "Yes", F.least(F.col("risk") + 20, F.lit(100.0))).otherwise(F.col("risk"))
+    rated = rated.withColumn("risk", risk).withColumn("risk_level", level(F.col("risk"), PATTERN_BOUNDS))
     gap = arrest_gap(f).select("crime_type", "district", "time_category", "cases", "resolved", "rate", "gap")
     threat = top_threat(f).select("district", F.col("crime_type").alias("top_threat"), F.col("share").alias("top_threat_share"))
-    peak = modes(f, ["district"], ["time_category"])
     loss = loss_stats(f).select("crime_type", "mean", "min", "max")
     return (
-        rated.withColumn("risk_level", level(F.col("risk"), PATTERN_BOUNDS)).join(gap, ["crime_type", "district", "time_category"])
-        .join(threat, "district").join(peak, "district").join(loss, "crime_type")
+        rated.join(gap, ["crime_type", "district", "time_category"]).join(threat, "district")
+        .join(modes(f, ["district"], ["time_category"]), "district").join(loss, "crime_type")
     )
 
 
