@@ -21,6 +21,7 @@ from vigil.llm.arrow_text import slices, utf8
 from vigil.shared import written
 
 DIMS = 8192
+MAX_LABELS = 1000  # bounds the table of labels and the centroids, which go to every task
 LENGTHS = 24  # classes of text length, by powers of two
 _FOLD = np.full(256, 0x20, np.uint32)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
@@ -107,9 +108,11 @@ class Model(NamedTuple):
 def _sampled(docs: DataFrame, per_language: int) -> DataFrame:
     """At most ``per_language`` rows (id, text, lang) of each language, those of the smallest hashes."""
     hashed = docs.withColumn("h", F.xxhash64(F.lit("language"), F.col("id")))
-    counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "_lang")
+    counts = written(docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "_lang"), "labels")
+    if counts.count() > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
     share = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
-    near = hashed.join(counts, F.col("lang") == F.col("_lang")).filter(share * F.col("n") < 2 * per_language)
+    near = hashed.join(F.broadcast(counts), F.col("lang") == F.col("_lang")).filter(share * F.col("n") < 2 * per_language)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "text"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("id", "text", "lang", "rank")
 
