@@ -108,7 +108,8 @@ def kept_lines(
     runs = LineRuns(fanout)
     for b in range(batches):
         runs.add(keys.filter(F.col("batch") == b).select("id", "key"))
-    frequent = runs.entries().filter(F.col("documents") >= min_docs).select("key", "last")
+    # a table of its own, so that a frequent line's rows can be split in the join
+    frequent = written(runs.entries().filter(F.col("documents") >= min_docs).select("key", "last"), "frequent")
     drops = (
         keys.join(frequent, "key").filter("id < last").groupBy("id").agg(F.collect_set("key").alias("_drop"))
         .withColumnRenamed("id", "_drop_id")
