@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.arrow_text import Words, slices
+from vigil.llm.arrow_text import Words, slices, utf8
 from vigil.llm.exact_dedup import PAGE_BITS, bit_is_set
 from vigil.shared import written
 
@@ -24,7 +24,7 @@ def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
 
 
 def sequences(docs: DataFrame, id_col: str, text_col: str, gram: int, window: int, places: bool) -> DataFrame:
-    """(id, seq, n_words, sha, anchors[, at]) of every row.
+    """(id, text_hash, seq, n_words, sha, anchors[, at]) of every row.
 
     seq hashes the word sequence (sha: of the words joined by one space, in full); anchors are the gram hashes at the
     minimiser positions of texts with at least gram + window - 1 words: with ``places`` all of them and their word
@@ -34,13 +34,13 @@ def sequences(docs: DataFrame, id_col: str, text_col: str, gram: int, window: in
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                words = Words.of(batch.column("text"), places=True)
-                data = batch.column("text").to_pylist()
+                data, offsets = utf8(batch.column("text"))
+                words = Words(data, offsets)
                 grams = words.windows(gram)
                 n, sha, seq, anchors, at = [], [], [], [], []
-                for i, text in enumerate(data):
+                for i in range(batch.num_rows):
                     a, b = words.first[i:i + 2]
-                    digest = hashlib.sha256(joined(text).encode()).digest()
+                    digest = hashlib.sha256(b" ".join(split_words(data[offsets[i]:offsets[i + 1]].tobytes()))).digest()
                     n.append(b - a)
                     sha.append(digest.hex())
                     seq.append(int.from_bytes(digest[:8], "big", signed=True))
@@ -50,27 +50,20 @@ def sequences(docs: DataFrame, id_col: str, text_col: str, gram: int, window: in
                     anchors.append((own[found] if places else np.unique(own[found])).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("id"), pa.array(seq, pa.int64()), pa.array(n, pa.int64()), pa.array(sha),
+                        batch.column("id"), batch.column("text_hash"), pa.array(seq, pa.int64()), pa.array(n, pa.int64()), pa.array(sha),
                         pa.array(anchors, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int64())),
                     ],
-                    names=["id", "seq", "n_words", "sha", "anchors", "at"],
+                    names=["id", "text_hash", "seq", "n_words", "sha", "anchors", "at"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = "id long, seq long, n_words long, sha string, anchors array<long>, at array<long>"
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    schema = "id long, text_hash long, seq long, n_words long, sha string, anchors array<long>, at array<long>"
     return written(rows.mapInArrow(run, schema), "sequences")
 
 
-#: The white space of the output contracts, which is narrower than str.split() without arguments.
-_TO_SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
-
-
-def split_words(text: str | None) -> list[str]:
-    return [w for w in text.translate(_TO_SPACE).split(" ") if w] if text else []
-
-
-def joined(text: str | None) -> str:
-    return " ".join(split_words(text))
+def split_words(text: str | bytes | None) -> list[bytes]:
+    """The words in UTF-8; bytes are split at exactly the white space of the output contracts."""
+    return (text.encode() if isinstance(text, str) else text or b"").split()
 
 
 def recurring(rows: DataFrame, key: str, by: str) -> DataFrame:
@@ -80,7 +73,7 @@ def recurring(rows: DataFrame, key: str, by: str) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, max_bits: int = 1 << 27) -> DataFrame:
-    """(id, text and the columns of ``needed``) for the ids in ``needed``, one row for each.
+    """(id, text and the columns of ``needed``) for the pairs (id, text_hash) in ``needed``; repeated rows repeat.
 
     Rows of other ids are dropped before the shuffle by a bitmap of the needed ids, which never has more than
     ``max_bits`` bits; what it lets through by chance, the join drops.
@@ -89,22 +82,15 @@ def texts_of(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, max
     bits = F.lit(pages * PAGE_BITS)
     bitmap = needed.select(F.pmod(F.xxhash64("id"), bits).alias("at")).groupBy((F.col("at") / PAGE_BITS).cast("long").alias("page"))
     bitmap = bitmap.agg(F.bitmap_construct_agg(F.col("at") % PAGE_BITS).alias("bitmap"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("at", F.pmod(F.xxhash64("id"), bits))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("id"), bits))
     likely = rows.join(F.broadcast(bitmap), (F.col("at") / PAGE_BITS).cast("long") == F.col("page")).filter(
         bit_is_set(F.col("bitmap"), F.col("at") % PAGE_BITS)
     )
-    return likely.select("id", "text").join(needed.hint("shuffle_hash"), "id")
-
+    return likely.select("id", "text_hash", "text").join(needed.hint("shuffle_hash"), ["id", "text_hash"])
 
-def own_text(texts: DataFrame) -> DataFrame:
-    """Of rows that share an id, the one whose word sequence is meant; one of those that repeat it."""
 
-    def run(batches):
-        for batch in batches:
-            keep = [
-                int.from_bytes(hashlib.sha256(joined(t).encode()).digest()[:8], "big", signed=True) == s
-                for t, s in zip(batch.column("text").to_pylist(), batch.column("seq").to_pylist(), strict=True)
-            ]
-            yield batch.filter(pa.array(keep))
-
-    return texts.mapInArrow(run, texts.schema).dropDuplicates(["id", "seq"])
+def first_rows(usable: DataFrame) -> DataFrame:
+    """(seq, id, text_hash): of the rows with the same words the one with the smallest id."""
+    least = usable.groupBy("seq").agg(F.min(F.struct("id", "text_hash")).alias("_least"))
+    return least.select("seq", "_least.*")

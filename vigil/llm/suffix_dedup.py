@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm.arrow_text import Words, slices
-from vigil.llm.passages import minimisers, own_text, recurring, sequences, texts_of
+from vigil.llm.passages import first_rows, minimisers, recurring, sequences, texts_of
 from vigil.shared import written
 
 GRAM = 10
@@ -119,12 +119,11 @@ def _table(matches: list[tuple], ends: list[tuple], part: int) -> pa.RecordBatch
 def passages(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """(id, first, last, other): words [first, last) of a document that also stand in another one; ids of distinct sequences."""
     usable = rows.filter(F.col("id").isNotNull() & (F.col("n_words") >= least))
-    firsts = usable.groupBy("seq").agg(F.min("id").alias("id"))
     anchors = usable.select("seq", F.explode(F.array_distinct("anchors")).alias("anchor"))
     wanted = written(recurring(anchors, "anchor", "seq").select("anchor"), "anchors")
     wanted = anchors.join(wanted, "anchor").groupBy("seq").agg(F.collect_set("anchor").alias("wanted"))
-    needed = written(wanted.join(firsts, "seq").select("id", "seq", "wanted"), "needed")
-    found = written(suffixes(own_text(texts_of(docs, needed, id_col, text_col)), least), "suffixes")
+    needed = written(wanted.join(first_rows(usable), "seq").select("id", "text_hash", "seq", "wanted"), "needed")
+    found = written(suffixes(texts_of(docs, needed, id_col, text_col), least), "suffixes")
     by_right = neighbours(found, ["right", "left", "id", "at"], least)
     by_left = neighbours(found, ["left", "right", "id", "at"], least)
     return written(by_right.unionByName(by_left).distinct(), "passages")
