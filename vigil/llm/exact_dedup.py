@@ -73,6 +73,7 @@ def exact_duplicates(
     groups = tested.filter("possible").groupBy("sha").agg(
         F.max(F.struct("id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size")
     )
+    groups = written(groups, "groups")  # a table of its own, so that a large group's rows can be split in the join
     shuffled = tested.filter("possible").join(groups, "sha").select(
         "id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "sha"
     )
