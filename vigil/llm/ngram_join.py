@@ -14,9 +14,10 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.graph import components
 from vigil.llm.arrow_text import Words, mix, slices
 from vigil.shared import written
 
@@ -198,29 +199,9 @@ def links(buckets: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFr
     return edges, ends.unionByName(met.select("id", "links")).groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component: smallest id reachable) of every id in ``edges`` (a, b), by alternating large and small stars."""
-    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        large = written(large, "large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))
-        small = written(small.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "small")
-        changed = small.join(edges, ["a", "b"], "left_anti").limit(1).count() + edges.join(small, ["a", "b"], "left_anti").limit(1).count()
-        edges = small
-        if not changed:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
-                edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-            )
-
-
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8,
-    recall: float = 0.999, most_hashes: int = 140, row_col: str | None = None,
+    recall: float = 0.999, most_hashes: int = 140,
 ) -> tuple[DataFrame, DataFrame]:
     """(row, id, text_hash, node, component), one per row, and (id, links), the number of links of a node.
 
@@ -231,9 +212,7 @@ def near_duplicates(
     bands, rows = bands_and_rows(threshold, recall, most_hashes)
     text = F.col(text_col)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    numbered = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    marked = written(signatures(numbered, bands, rows, size), "signatures")
+    marked = written(signatures(source.withColumn("row", F.monotonically_increasing_id()), bands, rows, size), "signatures")
     classes = marked.filter("set is not null").groupBy("set", "n").agg(
         F.min(F.struct(F.col("id").isNull(), "id", "row", "text_hash")).alias("least"), F.min("bands").alias("bands")
     )
@@ -289,11 +268,18 @@ def join_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each class of near copies: that of the smallest id (and first row); columns as they are."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    members, _ = near_duplicates(rows, id_col, text_col, row_col="_row", **options)
+    """``docs`` with one row of each class of near copies: that of the smallest id; columns as they are.
+
+    Of rows that repeat this id and text, one stays. Texts without words all stay.
+    """
+    members, _ = near_duplicates(docs, id_col, text_col, **options)
+    members = written(members, "members")
     order = F.struct(F.col("id").isNull(), "id", "row")
-    group = F.coalesce("component", F.lit(-1) - F.col("row"))
-    stays = members.groupBy(group.alias("group")).agg(F.min_by("row", order).alias("_stays"))
-    kept = rows.join(written(stays.select("_stays"), "stays").hint("shuffle_hash"), F.col("_row") == F.col("_stays"))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    stays = members.filter("component is not null").groupBy("component").agg(F.min_by(F.struct("id", "text_hash"), order).alias("_s"))
+    stays = stays.select(F.col("_s.id").alias("_id"), F.col("_s.text_hash").alias("_hash"), F.lit(False).alias("_alone"))
+    alone = members.filter("component is null").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.lit(True).alias("_alone"))
+    stays = written(stays.unionByName(alone.distinct()), "stays")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_hash"))
+    kept = docs.join(stays.hint("shuffle_hash"), same)
+    repeat = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    return kept.withColumn("_repeat", repeat).filter("_alone or _repeat = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
