@@ -3,7 +3,8 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from vigil.operators.hotspots import emerging_hotspots
-from vigil.operators.live import knowledge, process_incidents
+from vigil.operators.anomaly import FEATURES, anomaly_features, score_isolation_forest, score_records
+from vigil.operators.live import knowledge, process_incidents, scored
 from vigil.functions.expr import date_of
 from vigil.plans.risk import CHAIN_COLUMNS
 from vigil.sources.incidents import history, incoming
@@ -65,3 +66,39 @@ def test_daily_counts_take_late_rows(spark, tmp_path):
         batch = emerging_hotspots(dated, dated, days).filter("recent_count > 0")
         expected = {r.location: r.recent_count for r in batch.collect()}
         assert {r.district: r.recent_count for r in recent_counts(spark, str(tmp_path / "out"), days).collect()} == expected
+
+
+def test_the_chain_scores_by_the_forest(spark, known):
+    df = arrivals(spark)
+    none = {"is_anomaly": F.lit(False), "anomaly_score": F.lit(None).cast("double")}
+    plain = {r.incident_id: r for r in scored(known, df.withColumns(none)).collect()}
+    out = {r.incident_id: r for r in scored(known, df).collect()}
+    assert set(out) == set(plain) and all(r.anomaly_score is not None for r in out.values())
+    odd = [r for r in out.values() if r.is_anomaly]
+    assert odd and all(r.is_anomaly == (r.anomaly_score > 0.5) for r in out.values() if r.anomaly_score != 0.5)
+    for r in out.values():
+        assert r.dynamic_risk == pytest.approx(min(plain[r.incident_id].dynamic_risk + 12 * r.is_anomaly, 100.0))
+        assert any(x.startswith("Unusual profile, score") for x in r.reasons) == r.is_anomaly
+    done = process_incidents(known, df)
+    assert {r.incident_id for r in done.assessments.filter("anomaly_flag and anomaly_score is not null").collect()} == {r.incident_id for r in odd}
+    assert {r.incident_id for r in done.alerts.collect()} == {r.incident_id for r in out.values() if r.risk_level in ("HIGH", "CRITICAL")}
+
+
+def test_a_history_row_scores_the_same_in_the_chain(spark, known):
+    rows = known.history.limit(200).withColumns({
+        "occurred_time": F.element_at(F.create_map(*map(F.lit, ["Morning", "8:00", "Afternoon", "13:00", "Evening", "18:00", "Night", "23:00"])), F.col("time_category"))})
+    whole = score_isolation_forest(anomaly_features(known.history), anomaly_features(known.history), FEATURES, "incident_id")
+    expected = {r.incident_id: (r.is_anomaly, r.anomaly_score) for r in whole.collect()}
+    out = score_records(rows, known.anomalies).collect()
+    assert len(out) == 200 and all((r.is_anomaly, r.anomaly_score) == expected[r.incident_id] for r in out)
+
+
+def test_given_flags_are_kept(spark):
+    past = history(spark, f"{DATA}/sf0.001", CHAIN_COLUMNS)
+    flagged = arrivals(spark).withColumns({"is_anomaly": F.lit("true"), "anomaly_score": F.lit("0.75")})
+    without = knowledge(past, anomalies=False)
+    rows = scored(without, flagged).collect()
+    assert rows and all(r.is_anomaly and r.anomaly_score == 0.75 for r in rows)
+    with pytest.raises(ValueError):
+        scored(without, arrivals(spark))
+    assert process_incidents(knowledge(past.limit(0)), arrivals(spark)).assessments.count() == 0

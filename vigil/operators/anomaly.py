@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from vigil.functions.expr import has_weapon, is_yes, rounded
+from vigil.functions.expr import has_weapon, is_yes, rounded, time_period
+from vigil.operators.cleaning import label_codes, label_encode
 from vigil.operators.learning import prepare_features
 from vigil.ordered import quantile
 from vigil.shared import written
@@ -102,10 +106,10 @@ def path_scores(df: DataFrame, nodes: DataFrame, features: list[str], sample: in
     trees = [(t[["feature", "threshold", "left", "right", "path"]].to_numpy(float)) for _, t in forest.groupby("tree")]
     shared = df.sparkSession.sparkContext.broadcast((trees, _depth(sample)))
 
-    def run(frames):
+    def run(batches):
         trees, usual = shared.value
-        for frame in frames:
-            x = frame[features].to_numpy(float)
+        for batch in batches:
+            x = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False).astype(float) for f in features])
             total = np.zeros(len(x))
             for t in trees:
                 at = np.zeros(len(x), int)
@@ -116,26 +120,73 @@ def path_scores(df: DataFrame, nodes: DataFrame, features: list[str], sample: in
                     at[inner] = np.where(left, node[:, 2], node[:, 3]).astype(int)
                     inner = inner[t[at[inner], 0] >= 0]
                 total += t[at, 4]
-            frame["raw"] = -np.power(2.0, -total / max(len(trees), 1) / max(usual, 1e-9))
-            yield frame
+            raw = -np.power(2.0, -total / max(len(trees), 1) / max(usual, 1e-9))
+            yield batch.append_column("raw", pa.array(raw, pa.float64()))
 
-    from pyspark.sql.types import DoubleType, StructType
+    return df.mapInArrow(run, StructType(list(df.schema)).add("raw", "double"))
 
-    return df.mapInPandas(run, StructType(list(df.schema)).add("raw", DoubleType()))
 
+class Forest(NamedTuple):
+    """What scoring needs of the training rows: the node table, the low quantile of their values, the rows per tree."""
 
-def score_isolation_forest(train: DataFrame, rows: DataFrame, features: list[str], key: str, contamination: float = 0.05, **options) -> DataFrame:
-    """``rows`` with is_anomaly and anomaly_score; the offset is the low quantile of all training rows."""
+    nodes: DataFrame
+    offset: DataFrame
+    features: list[str]
+    sample: int
+
+
+def fit_forest(train: DataFrame, features: list[str], key: str, contamination: float = 0.05, **options) -> Forest:
+    """The forest and its offset, the low quantile of the values of all training rows; both are computed here, once."""
     nodes = train_isolation_forest(train, features, key, **options)
     sample = min(options.get("sample", 256), train.count())
     known = written(path_scores(train.select(*features), nodes, features, sample).select("raw"), "raw")
-    offset = written(quantile(known, "raw", contamination, "offset"), "offset")
-    scored = path_scores(rows, nodes, features, sample).crossJoin(F.broadcast(offset))
+    return Forest(nodes, written(quantile(known, "raw", contamination, "offset"), "offset"), features, sample)
+
+
+def forest_scores(rows: DataFrame, forest: Forest) -> DataFrame:
+    """``rows`` with is_anomaly and anomaly_score; every row is scored."""
+    scored = path_scores(rows, forest.nodes, forest.features, forest.sample).crossJoin(F.broadcast(forest.offset))
     decision = F.col("raw") - F.col("offset")
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 - decision))
     return scored.withColumns({"is_anomaly": decision < 0, "anomaly_score": rounded(score, 4)}).drop("raw", "offset")
 
 
+def score_isolation_forest(train: DataFrame, rows: DataFrame, features: list[str], key: str, contamination: float = 0.05, **options) -> DataFrame:
+    """``rows`` with is_anomaly and anomaly_score; the offset is the low quantile of all training rows."""
+    return forest_scores(rows, fit_forest(train, features, key, contamination, **options))
+
+
+class IncidentForest(NamedTuple):
+    """The forest of a history, and its codes of each category."""
+
+    forest: Forest
+    codes: dict[str, DataFrame]
+
+
+def incident_forest(history: DataFrame, key: str = "incident_id", **options) -> IncidentForest:
+    """Learned from the whole history; a feature that it lacks is ``Unknown`` or 0 throughout."""
+    absent = {c: F.lit("Unknown") for c in CATEGORIES} | {c: F.lit(0.0) for c in NUMBERS}
+    rows = history.withColumns({c: v for c, v in absent.items() if c not in history.columns})
+    rows = written(rows.select(key, *CATEGORIES, *NUMBERS), "anomaly-rows")
+    codes = {c: written(label_codes(rows, c), "codes") for c in CATEGORIES}
+    return IncidentForest(fit_forest(_coded(rows, codes), FEATURES, key, **options), codes)
+
+
+def _coded(rows: DataFrame, codes: dict[str, DataFrame]) -> DataFrame:
+    out = rows.withColumns({f"_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in NUMBERS})
+    for c in CATEGORIES:
+        out = label_encode(out, codes[c], c)
+    return out.drop(*NUMBERS).withColumnsRenamed({f"_{c}": c for c in NUMBERS})
+
+
+def score_records(records: DataFrame, known: IncidentForest) -> DataFrame:
+    """Incident records with is_anomaly and anomaly_score; the part of the day comes from the time of the incident."""
+    kept = records.columns
+    rows = records.withColumns({f"_was_{c}": F.col(c) for c in NUMBERS} | {"time_category": time_period(F.col("occurred_time"))})
+    scored = forest_scores(_coded(rows, known.codes), known.forest)
+    return scored.select(*[F.col(f"_was_{c}").alias(c) if c in NUMBERS else c for c in kept], "is_anomaly", "anomaly_score")
+
+
 def anomaly_explanation(flag: Column, score: Column) -> Column:
     """What the flag rests on, in one text."""
     return F.concat_ws(

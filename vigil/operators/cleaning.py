@@ -93,8 +93,15 @@ def normalize_incidents(df: DataFrame) -> DataFrame:
     )
 
 
+#: Columns of an anomaly found elsewhere that arriving rows may have.
+GIVEN_FLAGS = {"is_anomaly": "boolean", "anomaly_score": "double"}
+
+
 def incident_record(df: DataFrame, source: str = "batch") -> DataFrame:
-    """The record that is stored: defaults for absent values, the loss cut to a whole number."""
+    """The record that is stored: defaults for absent values, the loss cut to a whole number.
+
+    Flags of an anomaly that came with the rows are kept beside it.
+    """
     def given(c: str, default: str) -> Column:
         return F.coalesce(F.col(c), F.lit(default)).alias(c)
 
@@ -105,6 +112,7 @@ def incident_record(df: DataFrame, source: str = "batch") -> DataFrame:
         given("occurred_date", ""), "occurred_time", given("weapon_used", "Unknown"),
         *[given(c, "No") for c in YES_NO_FIELDS], safe_int(F.col("estimated_loss")).alias("estimated_loss"),
         F.lit("Low").alias("priority_level"), F.lit(source).alias("source"), F.lit("Received").alias("status"), "submitted_at",
+        *[F.col(c).try_cast(kind).alias(c) for c, kind in GIVEN_FLAGS.items() if c in df.columns],
     )
 
 

@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.expr import date_of
-from vigil.operators.cleaning import coverage_bounds, incident_record, valid_domains, validate_basic, within_coverage
+from vigil.operators.anomaly import IncidentForest, incident_forest, score_records
+from vigil.operators.cleaning import (
+    GIVEN_FLAGS, coverage_bounds, incident_record, valid_domains, validate_basic, within_coverage,
+)
 from vigil.operators.hotspots import emerging_hotspots
 from vigil.operators.records import assessments
 from vigil.operators.risk import baseline_lookup, dynamic_risk, historical_baseline, recommend_priority, risk_alerts
+from vigil.shared import written
 
 
 class Knowledge(NamedTuple):
@@ -21,10 +25,16 @@ class Knowledge(NamedTuple):
     domains: DataFrame
     bounds: DataFrame
     baseline: DataFrame
+    anomalies: IncidentForest | None
 
 
-def knowledge(history: DataFrame) -> Knowledge:
-    return Knowledge(history, valid_domains(history), coverage_bounds(history), historical_baseline(history))
+def knowledge(history: DataFrame, anomalies: bool = True) -> Knowledge:
+    """``anomalies=False`` trains no forest, for arriving rows that bring their flags."""
+    small = valid_domains(history), coverage_bounds(history), historical_baseline(history)
+    if not anomalies:
+        return Knowledge(history, *small, None)
+    small = [written(df, name) for df, name in zip(small, ("domains", "bounds", "baseline"), strict=True)]
+    return Knowledge(history, *small, None if history.isEmpty() else incident_forest(history))
 
 
 class Processed(NamedTuple):
@@ -38,6 +48,7 @@ class Processed(NamedTuple):
 def scored(known: Knowledge, arrived: DataFrame, window_days: int = 14, recent: DataFrame | None = None) -> DataFrame:
     """Valid incidents within the coverage with their dynamic risk.
 
+    Flags of an anomaly come from the forest of the history, unless the arriving rows have ``is_anomaly``.
     ``recent`` has the districts and dates that recent activity is counted from, the arrived ones by default.
     """
     checked = validate_basic(arrived, known.domains)
@@ -45,9 +56,19 @@ def scored(known: Knowledge, arrived: DataFrame, window_days: int = 14, recent:
     inside = records.filter("in_coverage")
     dated = (arrived if recent is None else recent).select("district", date_of(F.col("occurred_date")).alias("occurred_date"))
     emerging = emerging_hotspots(known.history, dated, window_days).select(F.col("location").alias("_location"), "ratio")
-    based = baseline_lookup(inside, known.baseline).join(emerging, F.col("district") == F.col("_location"), "left").drop("_location")
-    flags = {"is_anomaly": F.lit(False), "anomaly_score": F.lit(None).cast("double")}
-    return dynamic_risk(based.withColumns({c: v for c, v in flags.items() if c not in based.columns}))
+    based = baseline_lookup(_flagged(known, inside), known.baseline).join(emerging, F.col("district") == F.col("_location"), "left").drop("_location")
+    return dynamic_risk(based)
+
+
+def _flagged(known: Knowledge, records: DataFrame) -> DataFrame:
+    if "is_anomaly" in records.columns:
+        return records if "anomaly_score" in records.columns else records.withColumn("anomaly_score", F.lit(None).cast("double"))
+    records = records.drop("anomaly_score")
+    if known.anomalies is not None:
+        return score_records(records, known.anomalies)
+    if not known.history.isEmpty():
+        raise ValueError("neither a forest nor flags of anomalies")
+    return records.withColumns({c: F.lit(None).cast(kind) for c, kind in GIVEN_FLAGS.items()})  # no record is valid then
 
 
 def process_incidents(known: Knowledge, arrived: DataFrame, window_days: int = 14, recent: DataFrame | None = None) -> Processed:
@@ -57,6 +78,6 @@ def process_incidents(known: Knowledge, arrived: DataFrame, window_days: int = 1
     rated = scored(known, arrived, window_days, recent)
     status = F.when(F.col("in_coverage"), "Processed").otherwise("Received")
     return Processed(
-        checked.filter("not valid").select("incident_id", "errors"), records.withColumn("status", status),
+        checked.filter("not valid").select("incident_id", "errors"), records.drop(*GIVEN_FLAGS).withColumn("status", status),
         assessments(rated), recommend_priority(rated), risk_alerts(rated),
     )

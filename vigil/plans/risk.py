@@ -16,7 +16,7 @@ from vigil.sources.incidents import ensure_columns, history, incoming, table
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 RISK_COLUMNS = ["district", "occurred_date", "crime_severity", "weapon_used", "domestic_related", "gang_related", "estimated_loss"]
-CHAIN_COLUMNS = [*RISK_COLUMNS, "crime_type", "latitude", "longitude"]
+CHAIN_COLUMNS = [*RISK_COLUMNS, "crime_type", "latitude", "longitude", "incident_id", "crime_category", "time_category"]
 
 
 def _add(name: str, query, sql: str) -> None:
@@ -114,16 +114,20 @@ def _chain(sql: str) -> str:
     return with_incoming(sql, *CHAIN_CTES, history=True)
 
 
-def _known(spark, sf_dir):
-    return live.knowledge(history(spark, sf_dir, CHAIN_COLUMNS))
+def _add_chain(name: str, of, sql: str) -> None:
+    """Registers ``of`` of the knowledge and the arriving rows twice.
 
-
-def _scored(spark, sf_dir):
-    return live.scored(_known(spark, sf_dir), incoming(spark, sf_dir))
+    SQL can't grow the forest: under ``name`` the rows arrive with flags that say no, as the SQL has it. The chain with
+    the anomaly step is ``<name>_forest``, without SQL.
+    """
+    _add(name, lambda spark, sf_dir: of(
+        live.knowledge(history(spark, sf_dir, CHAIN_COLUMNS), anomalies=False),
+        incoming(spark, sf_dir).withColumns({"is_anomaly": F.lit(False), "anomaly_score": F.lit(None).cast("double")})), _chain(sql))
+    QUERIES[f"{name}_forest"] = lambda spark, sf_dir: of(live.knowledge(history(spark, sf_dir, CHAIN_COLUMNS)), incoming(spark, sf_dir))
 
 
 def _part(name: str):
-    return lambda spark, sf_dir: getattr(live.process_incidents(_known(spark, sf_dir), incoming(spark, sf_dir)), name)
+    return lambda *x: getattr(live.process_incidents(*x), name)
 
 
 _ASSESS = """'RISK-' || upper(md5(incident_id)) as assessment_id, incident_id, historical_risk, dynamic_risk, risk_level,
@@ -132,33 +136,35 @@ _ALERT = """'ALT-' || upper(md5(incident_id)) as alert_id, incident_id, coalesce
   case risk_level when 'CRITICAL' then 'Risk Escalation' else 'Elevated Risk' end as alert_type, risk_level,
   risk_level || ' risk: ' || crime_type || ' in ' || coalesce(district, 'None') as message, {} as recommendation, 'Open' as status, submitted_at as created_at
   from scored where risk_level in ('HIGH', 'CRITICAL')""".format(ACTION_SQL.format("risk_level"))
-_add("dynamic_risk", lambda spark, sf_dir: _scored(spark, sf_dir).select("incident_id", "historical_risk", "ratio", "dynamic_risk", "risk_level"),
-     _chain("select incident_id, historical_risk, ratio, dynamic_risk, risk_level from scored"))
-_add("risk_reasons", lambda spark, sf_dir: _scored(spark, sf_dir).select("incident_id", F.posexplode("reasons").alias("place", "reason")),
-     _chain("select incident_id, unnest(range(len(reasons)))::int as place, unnest(reasons) as reason from reasoned"))
-_add("recommend_priority", _part("recommendations"), _chain(f"""
+_add_chain("dynamic_risk", lambda *x: live.scored(*x).select("incident_id", "historical_risk", "ratio", "dynamic_risk", "risk_level"),
+     "select incident_id, historical_risk, ratio, dynamic_risk, risk_level from scored")
+_add_chain("risk_reasons", lambda *x: live.scored(*x).select("incident_id", F.posexplode("reasons").alias("place", "reason")),
+     "select incident_id, unnest(range(len(reasons)))::int as place, unnest(reasons) as reason from reasoned")
+_add_chain("recommend_priority", _part("recommendations"), f"""
 select incident_id, district as area, risk_level as priority,
   case risk_level when 'MODERATE' then 'Attention' when 'HIGH' then 'Patrol priority' when 'CRITICAL' then 'Emergency priority' else 'Routine' end as focus,
-  {ACTION_SQL.format('risk_level')} as action, reasons[len(reasons) - 1] as reason, true as decision_support_only from reasoned"""))
-_add("risk_alerts", _part("alerts"), _chain(f"select {_ALERT}"))
-_add("sink_assessments", lambda spark, sf_dir: records.assessments(_scored(spark, sf_dir)).drop("anomaly_score"), _chain(f"select {_ASSESS} from reasoned"))
-_add("process_incidents", lambda spark, sf_dir: (lambda p: p.incidents.select("incident_id", "status", "in_coverage").join(
+  {ACTION_SQL.format('risk_level')} as action, reasons[len(reasons) - 1] as reason, true as decision_support_only from reasoned""")
+_add_chain("risk_alerts", _part("alerts"), f"select {_ALERT}")
+_add_chain("sink_assessments", lambda *x: records.assessments(live.scored(*x)).drop("anomaly_score"), f"select {_ASSESS} from reasoned")
+QUERIES["sink_assessments_forest"] = lambda spark, sf_dir: records.assessments(
+    live.scored(live.knowledge(history(spark, sf_dir, CHAIN_COLUMNS)), incoming(spark, sf_dir)))
+_add_chain("process_incidents", lambda *x: (lambda p: p.incidents.select("incident_id", "status", "in_coverage").join(
     p.assessments.select("incident_id", "dynamic_risk", "risk_level"), "incident_id", "left").unionByName(
-    p.rejected.select("incident_id", F.lit("Rejected").alias("status")), allowMissingColumns=True))(live.process_incidents(_known(spark, sf_dir), incoming(spark, sf_dir))),
-    _chain("""select incident_id, case when in_coverage then 'Processed' else 'Received' end as status, in_coverage, dynamic_risk, risk_level
+    p.rejected.select("incident_id", F.lit("Rejected").alias("status")), allowMissingColumns=True))(live.process_incidents(*x)),
+    """select incident_id, case when in_coverage then 'Processed' else 'Received' end as status, in_coverage, dynamic_risk, risk_level
   from records left join (select incident_id, dynamic_risk, risk_level from scored) using (incident_id)
-  union all select incident_id, 'Rejected', null, null, null from checked where len(errors) > 0"""))
-_add("list_assessments", lambda spark, sf_dir: records.newest(_part("assessments")(spark, sf_dir), "created_at", 50, risk_level="HIGH").select("assessment_id", "incident_id", "dynamic_risk"),
-     _chain("select 'RISK-' || upper(md5(incident_id)) as assessment_id, incident_id, dynamic_risk from scored where risk_level = 'HIGH' order by submitted_at desc, 1 limit 50"))
-_add("list_alerts", lambda spark, sf_dir: records.newest(_part("alerts")(spark, sf_dir), "created_at", 40, status="Open").select("alert_id", "alert_type", "message"),
-     _chain(f"select alert_id, alert_type, message from (select {_ALERT}) order by created_at desc, alert_id limit 40"))
-_add("incident_with_assessments", lambda spark, sf_dir: (lambda p: records.with_assessments(p.incidents, p.assessments).select(
+  union all select incident_id, 'Rejected', null, null, null from checked where len(errors) > 0""")
+_add_chain("list_assessments", lambda *x: records.newest(_part("assessments")(*x), "created_at", 50, risk_level="HIGH").select("assessment_id", "incident_id", "dynamic_risk"),
+     "select 'RISK-' || upper(md5(incident_id)) as assessment_id, incident_id, dynamic_risk from scored where risk_level = 'HIGH' order by submitted_at desc, 1 limit 50")
+_add_chain("list_alerts", lambda *x: records.newest(_part("alerts")(*x), "created_at", 40, status="Open").select("alert_id", "alert_type", "message"),
+     f"select alert_id, alert_type, message from (select {_ALERT}) order by created_at desc, alert_id limit 40")
+_add_chain("incident_with_assessments", lambda *x: (lambda p: records.with_assessments(p.incidents, p.assessments).select(
     "incident_id", F.coalesce(F.size("assessments"), F.lit(0)).alias("n"), F.col("assessments")[0]["risk_level"].alias("first_level")))(
-    live.process_incidents(_known(spark, sf_dir), incoming(spark, sf_dir))),
-    _chain("select incident_id, case when risk_level is null then 0 else 1 end::int as n, risk_level as first_level from records left join (select incident_id, risk_level from scored) using (incident_id)"))
-_add("mark_processed", lambda spark, sf_dir: (lambda p: records.mark_processed(p.incidents.withColumn("status", F.lit("Received")), p.assessments).select("incident_id", "status"))(
-    live.process_incidents(_known(spark, sf_dir), incoming(spark, sf_dir))),
-    _chain("select incident_id, case when in_coverage then 'Processed' else 'Received' end as status from records"))
+    live.process_incidents(*x)),
+    "select incident_id, case when risk_level is null then 0 else 1 end::int as n, risk_level as first_level from records left join (select incident_id, risk_level from scored) using (incident_id)")
+_add_chain("mark_processed", lambda *x: (lambda p: records.mark_processed(p.incidents.withColumn("status", F.lit("Received")), p.assessments).select("incident_id", "status"))(
+    live.process_incidents(*x)),
+    "select incident_id, case when in_coverage then 'Processed' else 'Received' end as status from records")
 _add("recent_incidents", lambda spark, sf_dir: records.newest(incoming(spark, sf_dir).select("incident_id", "crime_type", "submitted_at"), "submitted_at", 50).select("incident_id", "crime_type"),
      with_incoming("select incident_id, crime_type from raw order by submitted_at desc, incident_id limit 50"))
 _add("recent_cutoff", lambda spark, sf_dir: records.recent(
