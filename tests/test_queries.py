@@ -31,3 +31,12 @@ def test_plans_have_no_product_of_data(spark, name):
     for line in re.findall(r".*Exchange SinglePartition.*\n.*", plan):
         assert re.search("Aggregate|Project|Sort|Window|HashAggregate|LocalLimit|Exchange", line.split("\n")[1]), line
         assert "FileScan" not in line.split("\n")[1]
+
+
+def test_the_forest_scores_every_incident(spark):
+    out = QUERIES["score_isolation_forest"](spark, f"{DATA}/sf0.001").persist()
+    lines = spark.read.parquet(f"{DATA}/sf0.001/lineitem.parquet").count()
+    assert out.count() == lines == out.select("incident_id").distinct().count()
+    assert out.filter("is_anomaly is null or anomaly_score is null").count() == 0
+    assert 0.04 < out.filter("is_anomaly").count() / lines < 0.06
+    out.unpersist()

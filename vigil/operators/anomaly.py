@@ -169,10 +169,11 @@ def incident_forest(history: DataFrame, key: str = "incident_id", **options) ->
     rows = history.withColumns({c: v for c, v in absent.items() if c not in history.columns})
     rows = written(rows.select(key, *CATEGORIES, *NUMBERS), "anomaly-rows")
     codes = {c: written(label_codes(rows, c), "codes") for c in CATEGORIES}
-    return IncidentForest(fit_forest(_coded(rows, codes), FEATURES, key, **options), codes)
+    return IncidentForest(fit_forest(coded(rows, codes), FEATURES, key, **options), codes)
 
 
-def _coded(rows: DataFrame, codes: dict[str, DataFrame]) -> DataFrame:
+def coded(rows: DataFrame, codes: dict[str, DataFrame]) -> DataFrame:
+    """The features of incidents, by the codes of a history."""
     out = rows.withColumns({f"_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in NUMBERS})
     for c in CATEGORIES:
         out = label_encode(out, codes[c], c)
@@ -183,7 +184,7 @@ def score_records(records: DataFrame, known: IncidentForest) -> DataFrame:
     """Incident records with is_anomaly and anomaly_score; the part of the day comes from the time of the incident."""
     kept = records.columns
     rows = records.withColumns({f"_was_{c}": F.col(c) for c in NUMBERS} | {"time_category": time_period(F.col("occurred_time"))})
-    scored = forest_scores(_coded(rows, known.codes), known.forest)
+    scored = forest_scores(coded(rows, known.codes), known.forest)
     return scored.select(*[F.col(f"_was_{c}").alias(c) if c in NUMBERS else c for c in kept], "is_anomaly", "anomaly_score")
 
 

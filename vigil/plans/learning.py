@@ -178,16 +178,16 @@ def _anomaly_rows(spark, sf_dir):
 
 
 def _scored(spark, sf_dir, trees: int = 200):
-    rows = _anomaly_rows(spark, sf_dir)
-    return a.score_isolation_forest(rows, rows, a.FEATURES, "incident_id", trees=trees)
+    rows = history(spark, sf_dir, A_COLUMNS)
+    known = a.incident_forest(rows, trees=trees)
+    return a.forest_scores(a.coded(rows, known.codes), known.forest)
 
 
 _add("anomaly_features", lambda spark, sf_dir: _anomaly_rows(spark, sf_dir).select("incident_id", *[f"{x}_code" for x in a.CATEGORIES], "estimated_loss"),
      with_history(f"select incident_id, {', '.join(f'{x}_code' for x in a.CATEGORIES)}, estimated_loss::double as estimated_loss from f", _codes_sql(a.CATEGORIES)))
 _add("train_isolation_forest", lambda spark, sf_dir: a.train_isolation_forest(_anomaly_rows(spark, sf_dir), a.FEATURES, "incident_id"))
-_add("score_isolation_forest", lambda spark, sf_dir: (lambda r: a.score_isolation_forest(r, r.filter("row_key % 100 = 0"), a.FEATURES, "incident_id"))(
-    _anomaly_rows(spark, sf_dir)).select("incident_id", "is_anomaly", "anomaly_score"))
-_add("historical_anomalies", lambda spark, sf_dir: _scored(spark, sf_dir).select("incident_id", "is_anomaly", "anomaly_score"))
+for _name in ("score_isolation_forest", "historical_anomalies"):
+    _add(_name, lambda spark, sf_dir: _scored(spark, sf_dir).select("incident_id", "is_anomaly", "anomaly_score"))
 _add("score_incidents_detailed", lambda spark, sf_dir: _scored(spark, sf_dir).select("incident_id", "is_anomaly", "anomaly_score", "crime_severity", "crime_type", "district"))
 
 
