@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import public_tokenizers
@@ -115,6 +116,27 @@ def test_licenses_against_brute_force(spark):
     assert license_scan(empty(spark)).count() == 0
 
 
+def test_notices_are_found_wherever_lines_end(spark):
+    rng = random.Random(3)
+    filler = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(n))
+    cases, expected = [], {}
+
+    def add(text, label):
+        expected[len(cases)] = label
+        cases.append((len(cases), text))
+
+    add("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy", "mpl-2.0")
+    add("# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided", "bsd")
+    add("Released under the terms of the MIT License", "mit")
+    add(f"released {filler(20)} the {filler(20)} under {filler(20)} license", "")
+    for label, notice in TEMPLATES.items():
+        for before in (0, 1, 33, 34, 35, 67, 500):
+            add(f"{filler(before)} " + notice.replace(" ", "\n * ") + f" {filler(40)}", label)
+    df = spark.createDataFrame(cases, "doc_id long, text string")
+    out = {r.doc_id: set(filter(None, r.labels.split(","))) - {"gpl", "cc-by"} for r in license_scan(df).collect()}
+    assert out == {i: {label} - {""} for i, label in expected.items()}
+
+
 @pytest.mark.parametrize("name", ["op3_quality_rules", "op4_phrase_automata", "op5_exact_dedup", "op6_line_dedup", "op7_license_scan"])
 def test_queries_against_sql(spark, duck, name):
     from vigil.llm.queries import ORACLES, QUERIES

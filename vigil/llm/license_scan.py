@@ -1,11 +1,14 @@
 """License notices by an exact set-similarity join with containment.
 
-A block is a line. Only template tokens can overlap with a template, so a block is represented by the set of template
-tokens it holds. Tokens are ordered by their frequency over all blocks of the corpus, rarest first. A template with
-``t`` tokens needs an overlap of ``a = ceil(threshold * t)``: the pair must then share a token among the first
-``t - a + 1`` of the template and the first ``b - a + 1`` of the block (prefix filter), the block must hold ``a``
+A template is looked for in every window of twice as many words as it has, wherever lines end, so a wrapped notice is
+found and so is one with words put in, while words that stand far apart aren't taken together. A block is a stretch of
+words that two of the longest windows fill, and begins where the first half of the one before ends: each window lies in
+a block. Only template tokens can overlap with a template, so a block is represented by the set of template
+tokens it holds. Tokens are ordered by their frequency over all blocks that any template may fit, rarest first. A
+template with ``t`` tokens needs an overlap of ``a = ceil(threshold * t)``: the pair must then share a token among the
+first ``t - a + 1`` of the template and the first ``b - a + 1`` of the block (prefix filter), the block must hold ``a``
 tokens (length filter), and enough tokens must follow the shared one on both sides (positional filter). What is left is
-verified. Joins are on tokens of prefixes only, so a common word never becomes a join key of its own.
+verified window by window. Joins are on tokens of prefixes only, so a common word never becomes a join key of its own.
 """
 
 from __future__ import annotations
@@ -26,7 +29,6 @@ BASE_PHRASES = {
     "all rights reserved": "reserved",
 }
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SEPARATORS_IN_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Notices in common use, by label.
 TEMPLATES = {
@@ -46,6 +48,37 @@ def template_tokens(text: str) -> list[str]:
     return sorted({w for w in re.split(SEPARATORS, text.lower()) if w})
 
 
+def window(text: str) -> int:
+    """The number of words among which a template is looked for."""
+    return 2 * sum(1 for w in re.split(SEPARATORS, text.lower()) if w)
+
+
+def _needed(templates: dict[str, str], threshold: float) -> dict[str, int]:
+    return {label: math.ceil(threshold * len(template_tokens(text))) for label, text in templates.items()}
+
+
+def _blocks(words: Column, templates: dict[str, str], threshold: float) -> Column:
+    """Blocks (tokens, words) of an array of words that hold enough tokens of some template."""
+    sets = {label: template_tokens(text) for label, text in templates.items()}
+    need = _needed(templates, threshold)
+    vocabulary = F.array(*[F.lit(t) for t in sorted({t for tokens in sets.values() for t in tokens})])
+    step = max(map(window, templates.values()))
+
+    def fits(tokens):
+        out = F.lit(False)
+        for label, some in sets.items():
+            out = out | (F.size(F.array_intersect(tokens, F.array(*map(F.lit, some)))) >= need[label])
+        return (F.size(tokens) >= min(need.values())) & out
+
+    def cut(w):
+        starts = F.sequence(F.lit(1), F.size(w), F.lit(step))
+        held = F.transform(starts, lambda at: F.struct(F.array_intersect(F.slice(w, at, 2 * step), vocabulary).alias("tokens"), at.alias("at")))
+        held = F.filter(held, lambda x: fits(x["tokens"]))
+        return F.transform(held, lambda x: F.struct(x["tokens"].alias("tokens"), F.slice(w, x["at"], 2 * step).alias("words")))
+
+    return _bound(words, cut)
+
+
 def _starts(words: Column, phrase: str) -> Column:
     """Word numbers at which the phrase's words follow each other."""
     parts = phrase.split(" ")
@@ -65,9 +98,12 @@ def _bound(value: Column, body) -> Column:
 
 
 def matches(blocks: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
-    """(row, label, containment) of every block-template pair that meets the threshold; ``blocks``: row, tokens."""
+    """(row, label, containment) of every block-template pair with a window that meets the threshold, by the best window.
+
+    ``blocks``: row, tokens, words.
+    """
     sets = {label: template_tokens(text) for label, text in templates.items()}
-    need = {label: math.ceil(threshold * len(tokens)) for label, tokens in sets.items()}
+    need = _needed(templates, threshold)
     spark = blocks.sparkSession
     counts = {r["token"]: r["count"] for r in blocks.select(F.explode("tokens").alias("token")).groupBy("token").count().collect()}
     order = sorted({t for s in sets.values() for t in s}, key=lambda t: (counts.get(t, 0), t))
@@ -77,26 +113,27 @@ def matches(blocks: DataFrame, templates: dict[str, str], threshold: float) -> D
         ranked = sorted(tokens, key=at.__getitem__)
         template = F.array(*map(F.lit, ranked)).alias("template")
         rows += [
-            F.struct(F.lit(t).alias("token"), F.lit(j).alias("j"), F.lit(label).alias("label"), template, F.lit(need[label]).alias("need"))
+            F.struct(F.lit(t).alias("token"), F.lit(j).alias("j"), F.lit(label).alias("label"), template, F.lit(need[label]).alias("need"), F.lit(window(templates[label])).alias("width"))
             for j, t in enumerate(ranked[: len(ranked) - need[label] + 1])
         ]
     prefixes = spark.range(1).select(F.inline(F.array(*rows)))
     least = min(need.values())
     ranked = blocks.filter(F.size("tokens") >= least).select(
-        "row", F.array_intersect(F.array(*map(F.lit, order)), "tokens").alias("block")
+        "row", "words", F.array_intersect(F.array(*map(F.lit, order)), "tokens").alias("block")
     )
     block_prefix = ranked.select(
-        "row", "block", F.posexplode(F.slice("block", F.lit(1), F.size("block") - (least - 1))).alias("i", "token")
+        "row", "words", "block", F.posexplode(F.slice("block", F.lit(1), F.size("block") - (least - 1))).alias("i", "token")
     )
     fits = (
         (F.size("block") >= F.col("need"))
         & (F.col("i") <= F.size("block") - F.col("need"))
         & (F.least(F.size("block") - F.col("i"), F.size("template") - F.col("j")) >= F.col("need"))
     )
-    overlap = F.size(F.array_intersect("block", "template"))
+    within = F.transform(F.sequence(F.lit(1), F.size("words")), lambda at: F.size(F.array_intersect(F.slice("words", at, F.col("width")), "template")))
+    overlap = F.array_max(within)
     return (
         block_prefix.join(F.broadcast(prefixes), "token")
-        .filter(fits)
+        .filter(fits & (F.size(F.array_intersect("block", "template")) >= F.col("need")))
         .withColumn("overlap", overlap)
         .filter(F.col("overlap") >= F.col("need"))
         .select("row", "label", (F.col("overlap") / F.size("template")).alias("containment"))
@@ -110,26 +147,19 @@ def license_scan(
     """One row per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Words are those of the lower-cased text; the base columns come from the three fixed phrases, ``labels`` adds the
-    templates that a line contains by ``threshold`` or more. ``score`` is the largest containment found, 1 where a base
+    templates that a window of words contains by ``threshold`` or more. ``score`` is the largest containment found, 1 where a base
     phrase stands and 0 where nothing was found. A null or empty text has no words, no labels and a score of 0.
     Repeated rows each get their own result; only the two named columns are read. The templates are a fixed list, so
     their table may be broadcast and the counts of their tokens may be collected.
     """
     templates = TEMPLATES if templates is None else templates
-    vocabulary = sorted({t for text in templates.values() for t in template_tokens(text)})
-    by_line = F.regexp_replace(F.lower(text_or_empty(text_col)), SEPARATORS_IN_LINE, " ")
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), by_line.alias("lines")
-    ).withColumn("flat", F.trim(F.regexp_replace("lines", r" ?\n[ \n]*", " ")))
+    flat = F.trim(F.regexp_replace(F.lower(text_or_empty(text_col)), SEPARATORS, " "))
+    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), flat.alias("flat"))
     padded = F.concat(F.lit(" "), F.col("flat"), F.lit(" "))
     held = {label: F.contains(padded, F.lit(f" {phrase} ")) for phrase, label in BASE_PHRASES.items()}
     words = F.split("flat", " ", -1)
     some = held["cc-by"] | held["gpl"] | held["reserved"]
     starts = _bound(words, lambda w: F.struct(*[_starts(w, phrase).alias(label) for phrase, label in BASE_PHRASES.items()]))
-    tokens = F.filter(
-        F.transform(F.split("lines", "\n", -1), lambda line: F.array_intersect(F.split(line, " ", -1), F.array(*map(F.lit, vocabulary)))),
-        lambda x: F.size(x) > 0,
-    )
     base = written(
         rows.select(
             "id", "row",
@@ -137,11 +167,11 @@ def license_scan(
             .otherwise(F.octet_length("flat") - F.octet_length(F.replace("flat", F.lit(" "), F.lit(""))) + 1)
             .cast("long").alias("n_words"),
             F.when(some, starts).alias("starts"),
-            tokens.alias("blocks"),
+            _blocks(words, templates, threshold).alias("blocks"),
         ),
         "license",
     )
-    blocks = base.select("row", F.explode("blocks").alias("tokens"))
+    blocks = base.select("row", F.inline("blocks"))
     found = matches(blocks, templates, threshold).groupBy("row").agg(
         F.collect_set("label").alias("more"), F.max("containment").alias("best")
     )
