@@ -1,12 +1,14 @@
+import random
 import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from fixture import documents, empty, rows
 from pyspark.sql import functions as F
 
-from vigil.llm.language import accepted_languages, language_digest
+from vigil.llm.language import _floors, accepted_languages, language_digest
 from vigil.llm.mixing import mix_digest, mixed, schedule, source_targets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -41,6 +43,36 @@ def test_rejected_documents_go_and_columns_stay(spark):
     assert out.filter(F.col("doc_id") == 10**9).count() == 0 and out.count() > 0.99 * known.count()
 
 
+def test_what_is_no_learned_language_is_rejected(spark):
+    rng = random.Random(7)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) >= 200")
+
+    def shuffled(text):
+        letters = [c for c in text if c.isalpha()]
+        rng.shuffle(letters)
+        left = iter(letters)
+        return "".join(next(left) if c.isalpha() else c for c in text)
+
+    some = docs.filter("lang = 'en'").limit(60).collect()
+    mixed_up = [(10**9 + i, shuffled(r.text), None) for i, r in enumerate(some)]
+    odd = [(2 * 10**9, "qxzjkvw " * 60, "en")]  # mislabelled, and if it is drawn it must not lower the floor
+    finnish = "ja on ei että hän oli mutta kun niin minä sinä kaikki sitten vielä nyt täällä talossa metsässä järven rannalla kylmä yö pitkä matka takaisin kotiin".split()
+    foreign = [(3 * 10**9 + i, " ".join(rng.choice(finnish) for _ in range(rng.randrange(40, 400))), None) for i in range(60)]
+    known = docs.select("doc_id", "text", "lang")
+    kept = accepted_languages(known.unionByName(spark.createDataFrame(mixed_up + odd + foreign, "doc_id long, text string, lang string")))
+    kept = {r.doc_id for r in kept.select("doc_id").collect()}
+    own = {r.doc_id for r in known.collect()}
+    assert len(own & kept) > 0.98 * len(own)
+    assert sum(i in kept for i, _, _ in mixed_up) < 3 and sum(i in kept for i, _, _ in foreign) < 3
+
+
+def test_one_odd_text_does_not_lower_the_floors():
+    cosine, lengths = np.full(300, 0.9), np.full(300, 12)
+    cosine[17], lengths[17] = 0.05, 15
+    assert _floors(cosine, lengths, 0.01, 0.2)[:13].max() > 0.7
+    assert _floors(cosine, lengths, 0.01, 0.2)[12] == pytest.approx(0.72)
+
+
 def test_language_without_any_label(spark):
     out = language_digest(documents(spark).withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.lang_pred for r in out} == {"und"}

@@ -3,7 +3,8 @@
 A text is a vector of hashed byte n-grams (one to three bytes, letters folded, everything that is no letter a space),
 weighted by TF-IDF and normalised. Each language has several centroids, found by clustering the vectors of a bounded
 sample of its labelled texts; a text gets the language of the centroid with the largest cosine. A text is rejected when
-its distance to that centroid is beyond what the language's own texts of about that length showed, with a margin.
+its distance to that centroid is beyond what all but a hundredth of the language's own texts of about that length or
+longer showed, with a margin.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from vigil.shared import written
 DIMS = 8192
 MAX_LABELS = 1000  # bounds the table of labels and the centroids, which go to every task
 LENGTHS = 24  # classes of text length, by powers of two
+FLOOR_TEXTS = 20  # that a floor is taken from, at least
 _FOLD = np.full(256, 0x20, np.uint32)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
 _FOLD[ord("a"):ord("z") + 1] = _FOLD[ord("A"):ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -83,16 +85,17 @@ def _clusters(x: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarra
     return centres.astype(np.float32), (x @ centres.T).max(axis=1)
 
 
-def _floors(cosine: np.ndarray, lengths: np.ndarray, margin: float) -> np.ndarray:
-    """Per length class the least cosine that is accepted: the sample's lowest in this or any longer class, less a margin."""
-    lowest = np.full(LENGTHS, np.inf)
-    np.minimum.at(lowest, lengths, cosine)
-    lowest = np.minimum.accumulate(lowest[::-1])[::-1]
-    lowest[np.isinf(lowest)] = lowest[~np.isinf(lowest)][-1]
-    seen = np.flatnonzero(np.bincount(lengths, minlength=LENGTHS))[0]
-    shorter = np.arange(LENGTHS) < seen
-    lowest[shorter] *= 0.5 ** (seen - np.arange(LENGTHS)[shorter]) # shorter than all that was seen: ask for less
-    return lowest * (1 - margin)
+def _floors(cosine: np.ndarray, lengths: np.ndarray, low: float, margin: float) -> np.ndarray:
+    """Per length class the least cosine that is accepted: the quantile ``low`` of the sample's texts of this or any longer class, less a margin.
+
+    Where fewer than FLOOR_TEXTS are that long, the longest FLOOR_TEXTS count.
+    """
+    longest = cosine[np.argsort(-lengths, kind="stable")]
+    n = np.array([np.count_nonzero(lengths >= c) for c in range(LENGTHS)])
+    floors = np.array([np.quantile(longest[:k], low) for k in np.maximum(n, min(FLOOR_TEXTS, len(longest)))])
+    shorter = np.arange(LENGTHS) < lengths.min()
+    floors[shorter] *= 0.5 ** (lengths.min() - np.arange(LENGTHS)[shorter])  # shorter than all that was seen: ask for less
+    return floors * (1 - margin)
 
 
 class Model(NamedTuple):
@@ -117,7 +120,7 @@ def _sampled(docs: DataFrame, per_language: int) -> DataFrame:
     return near.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("id", "text", "lang", "rank")
 
 
-def fit(docs: DataFrame, per_language: int = 300, clusters: int = 4, rounds: int = 8, margin: float = 0.7) -> Model:
+def fit(docs: DataFrame, per_language: int = 300, clusters: int = 4, rounds: int = 8, low: float = 0.01, margin: float = 0.2) -> Model:
     """A model from labelled rows (id, text, lang); rows without text, letter or label are no help and are left out.
 
     The sample is bounded by ``per_language`` rows for each label; what reaches the driver are the n-gram weights and
@@ -152,7 +155,7 @@ def fit(docs: DataFrame, per_language: int = 300, clusters: int = 4, rounds: int
         for i, (dims, n) in enumerate(zip(rows["dims"], rows["counts"], strict=True)):
             counts[i, dims] = n
         centres, cosine = _clusters(_vectors(counts, idf), clusters, rounds)
-        floors = _floors(cosine, _length_class(counts.sum(axis=1)), margin)
+        floors = _floors(cosine, _length_class(counts.sum(axis=1)), low, margin)
         return pd.DataFrame({
             "lang": rows["lang"].iloc[0], "cluster": np.arange(len(centres)), "centroid": list(centres),
             "floors": [floors] * len(centres),
