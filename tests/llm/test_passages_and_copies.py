@@ -170,3 +170,25 @@ def test_block_links_count_all_pairs(monkeypatch):
 def test_bands_reach_the_recall(threshold, recall):
     bands, per_band = bands_and_rows(threshold, recall)
     assert 1 - (1 - threshold**per_band) ** bands >= recall and bands * per_band <= 140
+
+
+def test_partition_boundaries_change_no_neighbours(spark):
+    import random
+
+    from vigil.llm.suffix_dedup import neighbours
+
+    rng = random.Random(9)
+    word = lambda n: bytes([0, 0, 0, n])
+    data, at = [], 0
+    for i in (1, 1, 1, 1, 1, 1, 2, 3, 3, 3, 3, 4, 4, 5, 1, 1, 1, 1, 2, 2):
+        at += 1
+        data.append((i, at, word(7) * 8 + word(at) + word(rng.randrange(9)), word(3) * 4))
+    df = spark.createDataFrame(data, "id long, at long, right binary, left binary")
+    found = []
+    for parts in (1, 2, 3, 5, 8, 20):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        found.append({tuple(r) for r in neighbours(df, ["right", "left", "id", "at"], 10).collect()})
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert found[0] and all(f == found[0] for f in found)

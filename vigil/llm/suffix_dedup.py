@@ -24,7 +24,7 @@ WINDOW = 21
 WORD_BYTES = 4  # of a word's hash in a sort key
 
 _MATCH = "id long, first long, last long, other long"
-_EDGE = _MATCH + ", part int, at long, right binary, left binary, ends boolean"
+_EDGE = _MATCH + ", part int, place long, at long, right binary, left binary, ends boolean"
 
 
 def suffixes(texts: DataFrame, reach: int) -> DataFrame:
@@ -68,51 +68,77 @@ def matched(x: tuple, y: tuple, least: int) -> list[tuple]:
     return [(a[0], a[1] - before, a[1] + after, b[0]) for a, b in ((x, y), (y, x))]
 
 
+class _Line:
+    """Rows in order: each row of a run of one id is compared with the row before the run and the row after it."""
+
+    def __init__(self, least: int):
+        self.least = least
+        self.start()
+
+    def start(self) -> None:
+        self.run: list[tuple] = []  # the rows of the last id that stand next to each other
+        self.before: tuple | None = None  # the row before them
+
+    def add(self, row: tuple) -> list[tuple]:
+        out = []
+        if self.run and self.run[-1][0] != row[0]:
+            for earlier in self.run:
+                out += matched(earlier, row, self.least)
+            self.before, self.run = self.run[-1], []
+        elif self.before:
+            out += matched(self.before, row, self.least)
+        self.run.append(row)
+        return out
+
+
 def neighbours(rows: DataFrame, order: list[str], least: int) -> DataFrame:
-    """(id, first, last, other) of the matches between neighbours of different ids in the global order."""
+    """(id, first, last, other) of the matches between neighbours of different ids in the global order.
+
+    Of each partition the first run of an id with the row after it, and the last run with the row before it, are carried
+    on whole and compared once more with those of the partitions beside it, so boundaries change nothing.
+    """
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        run_of_id: list[tuple] = []  # the rows of the last id that stand next to each other
-        before: tuple | None = None  # the row before them
-        first: tuple | None = None
+        line, place = _Line(least), -1
+        head: list[tuple] = []  # (place, row) up to the first row of the second run
         for batch in batches:
             out = []
             columns = [batch.column(c).to_pylist() for c in ("id", "at", "right", "left")]
-            for row in zip(*columns, strict=True):
-                first = first or row
-                if run_of_id and run_of_id[-1][0] != row[0]:
-                    for earlier in run_of_id:
-                        out += matched(earlier, row, least)
-                    before, run_of_id = run_of_id[-1], []
-                elif run_of_id and before:
-                    out += matched(before, row, least)
-                run_of_id.append(row)
+            for place, row in enumerate(zip(*columns, strict=True), place + 1):  # noqa: B007
+                if place == len(head) and (not head or head[-1][1][0] == head[0][1][0]):
+                    head.append((place, row))
+                out += line.add(row)
             yield _table(out, [], part)
-        if first:
-            yield _table([], [first, run_of_id[-1]], part)
+        if head:
+            tail = [*([line.before] if line.before else []), *line.run]
+            tail = list(enumerate(tail, place + 1 - len(tail)))
+            yield _table([], [*head, *[x for x in tail if x[0] > head[-1][0]]], part)
 
     found = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, _EDGE), "neighbours")
-    edges = found.filter("ends").select("part", "id", "at", "right", "left").coalesce(1).sortWithinPartitions("part")
+    edges = found.filter("ends").select("part", "place", "id", "at", "right", "left").coalesce(1).sortWithinPartitions("part", "place")
 
     def across(batches):
-        """One row at the start and one at the end of each partition: the end of one meets the start of the next."""
-        out, rows = [], []
+        """The ends of the partitions in order; where rows of a partition are left out, nothing is compared."""
+        line, last = _Line(least), None
         for batch in batches:
-            rows += zip(*[batch.column(c).to_pylist() for c in ("part", "id", "at", "right", "left")], strict=True)
-        for x, y in zip(rows, rows[1:], strict=False):
-            if x[0] != y[0] and x[1] != y[1]:
-                out += matched(x[1:], y[1:], least)
-        yield _table(out, [], 0).select(["id", "first", "last", "other"])
+            out = []
+            for part, place, *row in zip(*[batch.column(c).to_pylist() for c in ("part", "place", "id", "at", "right", "left")], strict=True):
+                if last and last[0] == part and last[1] + 1 != place:
+                    line.start()
+                last = (part, place)
+                out += line.add(tuple(row))
+            yield _table(out, [], 0).select(["id", "first", "last", "other"])
 
     return found.filter("not ends").select("id", "first", "last", "other").unionByName(edges.mapInArrow(across, _MATCH))
 
 
 def _table(matches: list[tuple], ends: list[tuple], part: int) -> pa.RecordBatch:
-    rows = [(*m, part, None, None, None, False) for m in matches] + [(e[0], None, None, None, part, *e[1:], True) for e in ends]
-    columns = list(zip(*rows, strict=True)) or [()] * 9
-    kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
-    names = ["id", "first", "last", "other", "part", "at", "right", "left", "ends"]
+    rows = [(*m, part, None, None, None, None, False) for m in matches]
+    rows += [(e[0], None, None, None, part, place, *e[1:], True) for place, e in ends]
+    columns = list(zip(*rows, strict=True)) or [()] * 10
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
+    names = ["id", "first", "last", "other", "part", "place", "at", "right", "left", "ends"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
