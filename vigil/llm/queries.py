@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vigil.llm import conversation_queries
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -84,6 +86,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_bpe": op10_bpe,
+    **conversation_queries.QUERIES,
 }
 
 UPPER_TO_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -168,4 +171,5 @@ select doc_id, count(*) as n_lines, count(*) filter (where doc_id < last) as n_d
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where last is null or doc_id = last), ''))
     as kept_sha256
 from k left join g using (key) group by doc_id""",
+    **conversation_queries.ORACLES,
 }
