@@ -75,6 +75,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.minhash_join import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language": op2_language,
@@ -86,6 +92,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_bpe": op10_bpe,
+    "op12_minhash_dedup": op12_minhash_dedup,
     **conversation_queries.QUERIES,
 }
 
@@ -171,5 +178,21 @@ select doc_id, count(*) as n_lines, count(*) filter (where doc_id < last) as n_d
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where last is null or doc_id = last), ''))
     as kept_sha256
 from k left join g using (key) group by doc_id""",
+    "op12_minhash_dedup": f"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER_TO_LOWER}), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' ')) end) as grams from d),
+c as (select min(doc_id) as node, len(any_value(grams)) as n, list_sort(any_value(grams)) as grams from s where len(grams) > 0 group by list_sort(grams)),
+g as (select node, n, unnest(grams) as gram from c),
+p as (select x.node as a, y.node as b, count(*) as n_both, any_value(x.n) as n_a, any_value(y.n) as n_b
+  from g x join g y on x.gram = y.gram and x.node < y.node
+    and 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n) group by x.node, y.node),
+l as (select a, b from p where 100 * n_both >= 85 * (n_a + n_b - n_both)),
+e as (select a, b from l union all select b, a from l),
+r as (select node as a, node as b from c union select r.a, e.b from r join e on r.b = e.a),
+m as (select a as node, min(b) as component_id from r group by a)
+select s.doc_id, len(s.grams)::bigint as n_shingles, coalesce(m.component_id, s.doc_id) as component_id,
+  s.doc_id = coalesce(m.component_id, s.doc_id) as kept
+from s left join c on list_sort(s.grams) = c.grams left join m on m.node = c.node""",
     **conversation_queries.ORACLES,
 }
