@@ -15,8 +15,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_digest(conversations(spark, sf_dir))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(conversations(spark, sf_dir))
+
+
 QUERIES = {
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 
@@ -82,4 +89,32 @@ select z.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint
   coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, best.cost::bigint as cost, best.audit as audit,
   sha256(substr(best.said, 2)) as repaired_sha256
 from z left join n on z.conv_id is not distinct from n.conv_id""",
+    "op13_prefix_trie": f"""
+with o as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as rank
+  from conversations where conv_id is not null),
+c as (select conv_id, conv_id - conv_id % 5 as family, {crc32_sql("conv_id::varchar")} % 9 as h from o group by conv_id),
+heads as (select c.conv_id, o.rank, role, text from c join o on o.conv_id = c.family and o.rank < c.h),
+own as (select o.conv_id, o.rank + 9 as rank, role, text from c join o on o.conv_id = c.conv_id and o.rank >= c.h),
+turns as (select * from heads union all select * from own),
+s as (
+  select conv_id, coalesce(list({{'role': role, 'text': text}} order by rank) filter (where rank is not null), []) as said
+  from c left join turns using (conv_id) group by conv_id),
+p as (select conv_id, said, unnest(range(len(said) + 1)) as depth from s),
+m as (
+  select said[:depth] as path, depth, min(conv_id) as conv_id, count(*) as n_convs,
+    string_agg(conv_id::varchar, ',' order by conv_id) filter (where len(said) = depth) as ends
+  from p group by said[:depth], depth),
+k as (select path[:depth - 1] as path, depth - 1 as depth, count(*) as n_children from m where depth > 0 group by path[:depth - 1], depth - 1),
+w as (
+  select m.*, coalesce(n_children, 0) as n_children, case when depth = 0 then 0 else (n_convs - 1) * strlen(path[depth].text) end as saved
+  from m left join k using (path, depth)),
+u as (select path, depth, saved, n_children, unnest(range(depth + 1)) as above from w),
+t as (
+  select path[:above] as path, above as depth, count(*) filter (where n_children = 0) as n_leaves, sum(saved) as saved_tokens
+  from u group by path[:above], above)
+select w.conv_id, w.depth, q.conv_id as parent_conv_id, w.n_convs, w.n_children, t.n_leaves, t.saved_tokens::bigint as saved_tokens,
+  sha256(coalesce(w.ends, '')) as ends_sha256
+from w join t using (path, depth) left join w q on w.depth > 0 and q.depth = w.depth - 1 and q.path = w.path[:w.depth - 1]""",
 }
