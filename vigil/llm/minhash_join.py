@@ -1,9 +1,9 @@
 """Near-duplicate documents by a join on signature coordinates.
 
 Every set of word shingles gets a signature of minimum hashes. A set is posted under each of its first (coordinate,
-value) pairs; two sets that agree in at least ``matches`` of all coordinates must meet in one of the first
-coordinates - matches + 1 (prefix), so the others are never merged but only looked up to count collisions (skip). Pairs
-with enough collisions are confirmed on the full sets.
+value) pairs, in a common order that puts crowded values last; two sets that agree in at least ``matches`` of all
+coordinates must meet in one of the first coordinates - matches + 1 (prefix), so the others are never merged but only
+looked up to count collisions (skip). Pairs with enough collisions are confirmed on the full sets.
 
 The postings are merged twice. First every member is compared with the first one of its list, which is a row per
 posting, and what these links connect is joined. Then only lists that hold more than one component are merged further:
@@ -100,6 +100,26 @@ def full_sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, grams array<long>")
 
 
+def prefixes(classes: DataFrame, length: int) -> DataFrame:
+    """(node, n, list): each signature's first coordinates in the order of how many share their value.
+
+    The order is the same for all signatures: values that at most ``FEW`` share by coordinate, then the others by number.
+    A shingle that many otherwise different texts hold, and that is the least of a coordinate, so comes last.
+    """
+    lists = F.transform("signature", lambda value, at: F.struct(at.cast("int").alias("at"), F.xxhash64(at, value).alias("list")))
+    keys = classes.select("node", "n", lists.alias("lists"))
+    single = keys.select("node", F.explode("lists").alias("key")).select("node", "key.at", "key.list")
+    crowded = written(single.groupBy("list").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > FEW), "crowded")
+    number = F.map_from_entries(F.collect_list(F.struct("at", "members")))
+    numbers = written(single.join(crowded, "list").groupBy("node").agg(number.alias("numbers")), "numbers")
+    joined = keys.join(numbers, "node", "left")
+    ranked = F.transform("lists", lambda x: F.struct(
+        F.coalesce(F.try_element_at("numbers", x["at"]), F.lit(0).cast("long")).alias("members"), x["at"].alias("at"), x["list"].alias("list")
+    ))
+    first = F.slice(F.when(F.col("numbers").isNull(), ranked).otherwise(F.array_sort(ranked)), 1, length)
+    return joined.select("node", "n", F.explode(first).alias("key")).select("node", "n", "key.list")
+
+
 def _long_enough(percent: int, a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -210,8 +230,7 @@ def near_classes(
         F.min(F.struct(F.col("id").isNull(), "id", "row", "text_hash")).alias("least"), F.min("signature").alias("signature")
     )
     classes = written(classes.select("set", "n", "signature", F.col("least.row").alias("node"), "least.id", "least.text_hash"), "classes")
-    posted = classes.select("node", "n", F.posexplode(F.slice("signature", 1, coordinates - matches + 1)).alias("at", "value"))
-    posted = posted.select("node", "n", F.xxhash64("at", "value").alias("list"))
+    posted = written(prefixes(classes, coordinates - matches + 1), "postings")
     shared = posted.groupBy("list").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("node", "n")).alias("first")).filter("members > 1")
     lists = written(posted.join(written(shared, "shared"), "list"), "lists")
 
