@@ -6,10 +6,10 @@ coordinates must meet in one of the first coordinates - matches + 1 (prefix), so
 looked up to count collisions (skip). Pairs with enough collisions are confirmed on the full sets.
 
 The postings are merged twice. First every member is compared with the first one of its list, which is a row per
-posting, and what these links connect is joined. Then only lists that hold more than one component are merged further:
-short ones by pairs, crowds in blocks of bounded size, each pair of blocks in a task of its own that returns the edges
-of a spanning forest. A crowd of thousands of copies thus costs a comparison each; only texts that stay apart are
-compared with all others of their lists.
+posting, and members go to the least first one that they are linked with. Then only lists that hold more than one such
+component are merged further: short ones by pairs, crowds in blocks of bounded size, each pair of blocks in a task of
+its own that returns the edges of a spanning forest. A crowd of thousands of copies thus costs a comparison each; only
+texts that stay apart are compared with all others of their lists.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from vigil.graph import components
 from vigil.llm.arrow_text import Words, mix, slices, utf8
+from vigil.llm.exact_dedup import PAGE_BITS, bit_is_set
 from vigil.shared import written
 
 FEW = 32  # members up to which a list is paired
@@ -124,18 +125,43 @@ def _long_enough(percent: int, a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def confirmed(pairs: DataFrame, signed: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with enough collisions whose full sets meet the similarity."""
-    left = signed.select(F.col("node").alias("a"), F.col("signature").alias("sig_a"))
-    right = signed.select(F.col("node").alias("b"), F.col("signature").alias("sig_b"))
+def colliding(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in enough coordinates."""
+    left = classes.select(F.col("node").alias("a"), F.col("signature").alias("sig_a"))
+    right = classes.select(F.col("node").alias("b"), F.col("signature").alias("sig_b"))
     collisions = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
-    near = written(pairs.join(right, "b").join(left, "a").filter(collisions >= matches).select("a", "b"), "candidates")
+    return written(pairs.join(right, "b").join(left, "a").filter(collisions >= matches).select("a", "b"), "candidates")
+
+
+def confirmed(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets meet the similarity."""
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b"))
     both = near.join(right, "b").join(left, "a").withColumn("both", F.size(F.array_intersect("grams_a", "grams_b")).cast("long"))
     return both.filter(100 * F.col("both") >= percent * (F.size("grams_a") + F.size("grams_b") - F.col("both"))).select("a", "b")
 
 
+def sets_of(source: DataFrame, classes: DataFrame, nodes: DataFrame, size: int, max_bits: int = 1 << 27) -> DataFrame:
+    """(node, grams) of some nodes, from the texts of ``source``.
+
+    Rows of other texts are dropped before the shuffle by a bitmap, which never has more than ``max_bits`` bits; what it
+    lets through by chance, the join drops.
+    """
+    needed = classes.join(nodes.distinct().withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"))
+    needed = written(needed.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "node"), "needed")
+    pages = min(max_bits // PAGE_BITS, needed.count() * 16 // PAGE_BITS + 1)
+    at = F.pmod(F.xxhash64("_id", "_hash"), F.lit(pages * PAGE_BITS))
+    bitmap = needed.select(at.alias("at")).groupBy((F.col("at") / PAGE_BITS).cast("long").alias("page"))
+    bitmap = bitmap.agg(F.bitmap_construct_agg(F.col("at") % PAGE_BITS).alias("bitmap"))
+    rows = source.withColumn("at", F.pmod(F.xxhash64("id", "text_hash"), F.lit(pages * PAGE_BITS)))
+    likely = rows.join(F.broadcast(bitmap), (F.col("at") / PAGE_BITS).cast("long") == F.col("page")).filter(
+        bit_is_set(F.col("bitmap"), F.col("at") % PAGE_BITS)
+    )
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    texts = likely.select("id", "text_hash", "text").join(needed, same).select("node", "text")
+    return written(full_sets(texts, size).dropDuplicates(["node"]), "sets")
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """The sizes of all intersections, as a matrix."""
     _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -207,6 +233,21 @@ def crowd_links(crowds: DataFrame, classes: DataFrame, sets: DataFrame, matches:
     return filled.groupBy("pair").applyInPandas(lambda rows: spanning_links(rows, matches, percent), "a long, b long")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
+def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of all classes, where nodes of one component are surely connected, but not yet all that are.
+
+    From links (a, b) of first members a: a node goes to the least of its firsts, and on to that one's.
+    """
+    low = links.groupBy("b").agg(F.min("a").alias("low"))
+    next_low = low.select(F.col("b").alias("_b"), F.col("low").alias("_low"))
+    label = low.join(next_low, F.col("low") == F.col("_b"), "left").select("b", F.coalesce("_low", "low").alias("label"))
+    return classes.join(label, F.col("node") == F.col("b"), "left").select("node", F.coalesce("label", "node").alias("component"))
+
+
 def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component) after more links (a, b) between components."""
     more = components(links).select(F.col("id").alias("component"), F.col("component").alias("least"))
@@ -234,20 +275,14 @@ def near_classes(
     shared = posted.groupBy("list").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("node", "n")).alias("first")).filter("members > 1")
     lists = written(posted.join(written(shared, "shared"), "list"), "lists")
 
-    met = lists.select("node").distinct().withColumnRenamed("node", "_node")
-    needed = classes.join(met, F.col("node") == F.col("_node")).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "node")
-    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-    texts = source.join(written(needed, "needed"), same).select("node", "text")
-    sets = written(full_sets(texts, size).dropDuplicates(["node"]), "sets")
-    signed = written(classes.join(met, F.col("node") == F.col("_node")).select("node", "signature"), "met")
-
     star = lists.filter((F.col("node") != F.col("first.node")) & _long_enough(percent, F.col("n"), F.col("first.n")))
     star = star.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(confirmed(star, signed, sets, matches, percent), "star-links")
-    parts = components(links).select(F.col("id").alias("_node"), "component")
-    parts = written(
-        classes.join(parts, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("component", "node").alias("component")), "parts"
-    )
+    near = colliding(star, classes, matches)
+    sets = sets_of(source, classes, _ends(near), size)
+    links = written(confirmed(near, sets, percent), "star-links")
+    parts = written(_labelled(classes, links), "parts")
+    left, right = (parts.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}")) for x in "ab")
+    joints = links.join(left, "a").join(right, "b").filter("part_a != part_b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
 
     placed = lists.select("list", "members", "node", "n").join(parts, "node")
     several = placed.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("list")
@@ -257,12 +292,14 @@ def near_classes(
     right = few.select("list", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("part_b"))
     apart = (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & _long_enough(percent, F.col("n_a"), F.col("n_b"))
     pairs = written(left.join(right, "list").filter(apart).select("a", "b", "part_a", "part_b").distinct(), "pairs")
-    found = confirmed(pairs.select("a", "b"), signed, sets, matches, percent).join(pairs, ["a", "b"])
-    links = found.select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
     crowds = open_lists.filter(F.col("members") > FEW)
+    near = colliding(pairs.select("a", "b"), classes, matches)
+    sets = sets_of(source, classes, _ends(near).unionByName(crowds.select("node")), size)
+    found = confirmed(near, sets, percent).join(pairs, ["a", "b"])
+    links = joints.unionByName(found.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")))
     if not crowds.isEmpty():
         links = links.unionByName(crowd_links(crowds, classes, sets, matches, percent))
-    links = written(links, "links")
+    links = written(links.distinct(), "links")
     if not links.isEmpty():
         parts = _joined(parts, links)
     named = parts.withColumnRenamed("node", "_node")
