@@ -11,6 +11,7 @@ from vigil.operators import clusters as c
 from vigil.operators import insights
 from vigil.operators import learning as m
 from vigil.operators.aggregates import modes
+from vigil.operators.density import density_clusters
 from vigil.operators.dashboard import arrest_gap, loss_stats, pattern_risk, top_threat
 from vigil.plans.oracle import mean, modes_cte, rnd, with_history
 from vigil.shared import written
@@ -127,6 +128,24 @@ _add("dbscan_hotspots", lambda spark, sf_dir: c.dbscan(_places(spark, sf_dir), E
 _add("dbscan_summary", lambda spark, sf_dir: (lambda h: c.dbscan_summary(h, c.dbscan(h, EPS, 100)))(_places(spark, sf_dir)))
 
 
+SCALED = ["latitude", "longitude", "crime_type_code", "crime_severity_code"]
+
+
+def _scaled(spark, sf_dir):
+    """Places, types and severities with mean 0 and deviation 1."""
+    rows = history(spark, sf_dir, ["incident_id", "crime_type", "crime_severity", "district", "latitude", "longitude"])
+    return m.standard_scale(m.prepare_features(rows, ["crime_type", "crime_severity"]), SCALED)
+
+
+def _dense(spark, sf_dir):
+    scaled, z = _scaled(spark, sf_dir), [f"z_{x}" for x in SCALED]
+    found = density_clusters(scaled, z, eps=0.5, min_points=5)
+    return scaled.join(found.drop("n"), z).select("incident_id", "cluster")
+
+
+_add("dbscan_scaled", _dense)
+
+
 def _groups(spark, sf_dir):
     return c.district_groups(_features(spark, sf_dir), ["crime_type_code", "time_category_code", "weapon_used_code", "crime_severity_code"])
 
