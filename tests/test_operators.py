@@ -279,16 +279,7 @@ def test_forest_draws_uniformly(spark):
     assert nodes.select("tree").distinct().count() == 40 and leaves.count() == 40
 
 
-def test_sinks_and_decoding(spark, tmp_path):
-    rows = spark.createDataFrame([("INC-1", "2024-01-31 10:00:00"), ("INC-2", "2024-02-01 00:00:00")], "incident_id string, at string").select("incident_id", F.to_timestamp("at").alias("submitted_at"))
-    for _ in range(2):
-        records.store_incidents(rows, str(tmp_path / "incidents"))
-    back = spark.read.parquet(str(tmp_path / "incidents"))
-    assert back.count() == 4 and {str(r.month_part) for r in back.collect()} == {"2024-01", "2024-02"}
-    alerts = rows.select(F.lit("A").alias("alert_id"), "incident_id")
-    records.store_alerts(alerts, str(tmp_path / "alerts"))
-    records.store_assessments(rows, str(tmp_path / "assessments"))
-    assert spark.read.parquet(str(tmp_path / "alerts")).count() == 2 and spark.read.parquet(str(tmp_path / "assessments")).count() == 2
+def test_decoding(spark):
     texts = spark.createDataFrame([('["a"]',), ("not json",), ("",), (None,), ("[]",)], "x string")
     assert [r.y for r in texts.select(records.decode_reasons(F.col("x")).alias("y")).collect()] == [["a"], ["not json"], [], [], []]
 

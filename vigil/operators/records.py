@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.expr import stable_id
+from vigil.sources.store import store
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
 
@@ -91,19 +92,14 @@ def delete_incidents(incidents: DataFrame, assessed: DataFrame, alerts: DataFram
     return incidents.join(gone, "incident_id", "left_anti"), assessed.join(gone, "incident_id", "left_anti"), kept
 
 
-def append(df: DataFrame, path: str, month_of: str | None = None, fmt: str = "parquet") -> None:
-    """Appends to a table of files, by month of a date or time column if one is named."""
-    writer = df.withColumn("month_part", F.date_format(month_of, "yyyy-MM")).write.partitionBy("month_part") if month_of else df.write
-    writer.format(fmt).mode("append").save(path)
+def store_incidents(records: DataFrame, path: str, run: str) -> bool:
+    """Adds the records by month of their arrival, once per run."""
+    return store(records, path, run, "submitted_at")
 
 
-def store_incidents(records: DataFrame, path: str) -> None:
-    append(records, path, "submitted_at")
+def store_assessments(records: DataFrame, path: str, run: str) -> bool:
+    return store(records, path, run)
 
 
-def store_assessments(records: DataFrame, path: str) -> None:
-    append(records, path)
-
-
-def store_alerts(records: DataFrame, path: str) -> None:
-    append(records, path)
+def store_alerts(records: DataFrame, path: str, run: str) -> bool:
+    return store(records, path, run)

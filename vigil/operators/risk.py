@@ -89,7 +89,8 @@ def dynamic_risk(df: DataFrame) -> DataFrame:
         F.when(domestic, F.lit("Domestic case")),
         F.when(gang, F.lit("Gang case")),
         F.when(ratio > 1, F.concat(F.lit("Recent activity "), one(ratio), F.lit(" times the usual"))),
-        F.when(anomaly, F.coalesce(F.concat(F.lit("Unusual profile, score "), F.format_string("%.3f", rounded(F.col("anomaly_score"), 3))), F.lit("Unusual profile"))),
+        F.when(anomaly & F.col("anomaly_score").isNull(), F.lit("Unusual profile"))
+        .when(anomaly, F.concat(F.lit("Unusual profile, score "), F.format_string("%.3f", rounded(F.col("anomaly_score"), 3)))),
         F.concat(F.lit("Risk "), one(F.col("dynamic_risk")), F.lit(" of 100, "), F.col("risk_level")),
     ]
     return out.withColumn("reasons", F.filter(F.array(*parts), F.isnotnull))

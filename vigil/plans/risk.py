@@ -8,9 +8,12 @@ from vigil.constants import SEVERITIES
 from vigil.functions.expr import date_of, is_yes, level
 from vigil.operators import hotspots as h
 from vigil.operators import live, records
+from vigil.operators.cleaning import incident_record
 from vigil.operators import risk as r
 from vigil.plans.cleaning import ACTION_SQL, RECORD_SQL, _BASIC, _BOUNDS, _KNOWN_TABLES, _list
 from vigil.plans.oracle import ARMED, BASELINE_CTE, day, minmax, num, risk_level, rnd, share, weight, with_history, with_incoming
+from vigil.shared import new_folder, written
+from vigil.sources import store
 from vigil.sources.incidents import ensure_columns, history, incoming, table
 
 QUERIES: dict = {}
@@ -91,21 +94,25 @@ _add("hotspot_priority", lambda spark, sf_dir: h.hotspot_priority(_hot(spark, sf
 select location, hotspot_score, coalesce(ratio, 1.0)::double as ratio, {rnd('greatest(0, least(100, hotspot_score * 0.7e0 + least(coalesce(ratio, 1.0), 3.0e0) / 3 * 30))')} as priority_score
 from hot left join emerging using (location)""", HOT_CTE, _emerging_cte(7), history=True))
 
-# The whole chain over the incoming incidents.
+# The whole chain over the incoming incidents, of which one in twenty comes flagged, some of these without a score.
+FLAGS_SQL = """substr(incident_id, 6)::bigint % 20 = 7 as is_anomaly,
+    case when substr(incident_id, 6)::bigint % 60 <> 7 then (substr(incident_id, 6)::bigint % 1000) / 1000.0e0 end as anomaly_score"""
 CHAIN_CTES = (
     BASELINE_CTE.strip(), _emerging_cte(14), _KNOWN_TABLES.format("raw.crime_type", "raw.district"),
     f"checked as (select *, {_list(_BASIC)} as errors from known)",
     f"""records as (select r.*, coalesce(latitude between min_latitude and max_latitude and longitude between min_longitude and max_longitude, false) as in_coverage
   from ({RECORD_SQL.replace('from raw', 'from checked where len(errors) = 0')}) r, ({_BOUNDS}))""",
     f"""scores as (select records.*, coalesce(historical_risk, 30.0)::double as historical_risk, ratio, {weight('crime_severity')} as sw,
-    lower(trim(weapon_used)) not in ('', 'unknown', 'none', 'no', 'nan', 'false') as armed, lower(domestic_related) = 'yes' as domestic, lower(gang_related) = 'yes' as gang
+    lower(trim(weapon_used)) not in ('', 'unknown', 'none', 'no', 'nan', 'false') as armed, lower(domestic_related) = 'yes' as domestic, lower(gang_related) = 'yes' as gang, {FLAGS_SQL}
   from records left join baseline using (district) left join emerging on location = district where in_coverage),
 scored as (select *, {risk_level('dynamic_risk')} as risk_level from (select *, {rnd('''greatest(0, least(100, historical_risk * 0.5e0 + sw * 15 + case when armed then 10 else 0 end
-    + case when domestic then 4 else 0 end + case when gang then 4 else 0 end + case when coalesce(ratio, 1) > 1 then least((ratio - 1) * 20, 30.0e0) else 0 end))''')} as dynamic_risk from scores)),
+    + case when domestic then 4 else 0 end + case when gang then 4 else 0 end + case when coalesce(ratio, 1) > 1 then least((ratio - 1) * 20, 30.0e0) else 0 end
+    + case when is_anomaly then 12 else 0 end))''')} as dynamic_risk from scores)),
 reasoned as (select *, list_filter(['District baseline ' || printf('%.1f', historical_risk),
     case when sw >= 0.8 then 'Severity raises the score' when sw >= 0.5 then 'Severity adds to the score' end,
     case when armed then 'Weapon: ' || weapon_used end, case when domestic then 'Domestic case' end, case when gang then 'Gang case' end,
     case when coalesce(ratio, 1) > 1 then 'Recent activity ' || printf('%.1f', {rnd('ratio')}) || ' times the usual' end,
+    case when is_anomaly then coalesce('Unusual profile, score ' || printf('%.3f', anomaly_score), 'Unusual profile') end,
     'Risk ' || printf('%.1f', dynamic_risk) || ' of 100, ' || risk_level], lambda x: x is not null) as reasons from scored)""",
 )
 
@@ -114,15 +121,18 @@ def _chain(sql: str) -> str:
     return with_incoming(sql, *CHAIN_CTES, history=True)
 
 
+def _flagged(spark, sf_dir):
+    score = F.when(F.col("event_id") % 60 != 7, F.col("event_id") % 1000 / 1000)
+    return incoming(spark, sf_dir).withColumns({"is_anomaly": F.col("event_id") % 20 == 7, "anomaly_score": score})
+
+
 def _add_chain(name: str, of, sql: str) -> None:
     """Registers ``of`` of the knowledge and the arriving rows twice.
 
-    SQL can't grow the forest: under ``name`` the rows arrive with flags that say no, as the SQL has it. The chain with
-    the anomaly step is ``<name>_forest``, without SQL.
+    SQL can't grow the forest: under ``name`` the rows arrive with flags made from their number, as the SQL has them. The
+    chain with the anomaly step is ``<name>_forest``, without SQL.
     """
-    _add(name, lambda spark, sf_dir: of(
-        live.knowledge(history(spark, sf_dir, CHAIN_COLUMNS), anomalies=False),
-        incoming(spark, sf_dir).withColumns({"is_anomaly": F.lit(False), "anomaly_score": F.lit(None).cast("double")})), _chain(sql))
+    _add(name, lambda spark, sf_dir: of(live.knowledge(history(spark, sf_dir, CHAIN_COLUMNS), anomalies=False), _flagged(spark, sf_dir)), _chain(sql))
     QUERIES[f"{name}_forest"] = lambda spark, sf_dir: of(live.knowledge(history(spark, sf_dir, CHAIN_COLUMNS)), incoming(spark, sf_dir))
 
 
@@ -131,7 +141,7 @@ def _part(name: str):
 
 
 _ASSESS = """'RISK-' || upper(md5(incident_id)) as assessment_id, incident_id, historical_risk, dynamic_risk, risk_level,
-  '[' || array_to_string(list_transform(reasons, lambda x: '"' || x || '"'), ',') || ']' as reasons, false as anomaly_flag, submitted_at as created_at"""
+  '[' || array_to_string(list_transform(reasons, lambda x: '"' || x || '"'), ',') || ']' as reasons, is_anomaly as anomaly_flag, anomaly_score, submitted_at as created_at"""
 _ALERT = """'ALT-' || upper(md5(incident_id)) as alert_id, incident_id, coalesce(district, 'None') || ' / ' || coalesce(nullif(neighborhood, ''), 'N/A') as location,
   case risk_level when 'CRITICAL' then 'Risk Escalation' else 'Elevated Risk' end as alert_type, risk_level,
   risk_level || ' risk: ' || crime_type || ' in ' || coalesce(district, 'None') as message, {} as recommendation, 'Open' as status, submitted_at as created_at
@@ -145,7 +155,7 @@ select incident_id, district as area, risk_level as priority,
   case risk_level when 'MODERATE' then 'Attention' when 'HIGH' then 'Patrol priority' when 'CRITICAL' then 'Emergency priority' else 'Routine' end as focus,
   {ACTION_SQL.format('risk_level')} as action, reasons[len(reasons) - 1] as reason, true as decision_support_only from reasoned""")
 _add_chain("risk_alerts", _part("alerts"), f"select {_ALERT}")
-_add_chain("sink_assessments", lambda *x: records.assessments(live.scored(*x)).drop("anomaly_score"), f"select {_ASSESS} from reasoned")
+_add_chain("sink_assessments", lambda *x: records.assessments(live.scored(*x)), f"select {_ASSESS} from reasoned")
 QUERIES["sink_assessments_forest"] = lambda spark, sf_dir: records.assessments(
     live.scored(live.knowledge(history(spark, sf_dir, CHAIN_COLUMNS)), incoming(spark, sf_dir)))
 _add_chain("process_incidents", lambda *x: (lambda p: p.incidents.select("incident_id", "status", "in_coverage").join(
@@ -256,3 +266,26 @@ from (select *, greatest(60 - areas, 0) - sum(extra) over () as left_over from (
         select district, coalesce(c, 0) as recent_count, historical_risk + least(2 * coalesce(c, 0), 20) as full_score from baseline
         left join (select district, count(*) as c from raw where ({day('occurred_date')}) >= date '2024-01-30' - 7 group by all) using (district))))))""",
     BASELINE_CTE.strip(), history=True))
+
+
+def _stored(spark, rows, put, by_month=False):
+    """``rows`` through a table of files: a run that is tried again, a second run, and an attempt that was never committed."""
+    path = new_folder(spark, "table")
+    later = F.pmod(F.xxhash64("incident_id"), F.lit(2)) == 1
+    rows = written(rows, "rows")
+    put(rows.filter(~later), path, "first")
+    put(rows.filter(~later), path, "first")
+    put(rows.filter(later), path, "second")
+    abandoned = rows.withColumns({"run": F.lit("second"), "attempt": F.lit("abandoned")})
+    parts = ["month_part", "run", "attempt"] if by_month else ["run", "attempt"]
+    if by_month:
+        abandoned = abandoned.withColumn("month_part", F.date_format("submitted_at", "yyyy-MM"))
+    abandoned.write.partitionBy(*parts).mode("append").parquet(f"{path}/data")
+    return store.read(spark, path, rows.schema, by_month)
+
+
+_add("sink_incidents", lambda spark, sf_dir: _stored(spark, incident_record(incoming(spark, sf_dir)), records.store_incidents, True).drop("run"),
+     with_incoming(f"select *, strftime(submitted_at::timestamp, '%Y-%m') as month_part from ({RECORD_SQL})"))
+_add("sink_alerts", lambda spark, sf_dir: _stored(spark, live.process_incidents(
+    live.knowledge(history(spark, sf_dir, CHAIN_COLUMNS), anomalies=False), _flagged(spark, sf_dir)).alerts, records.store_alerts).drop("run"),
+    _chain(f"select {_ALERT}"))
