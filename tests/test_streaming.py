@@ -8,6 +8,7 @@ from vigil.operators.live import knowledge, process_incidents, scored
 from vigil.functions.expr import date_of
 from vigil.plans.risk import CHAIN_COLUMNS
 from vigil.sources.incidents import history, incoming
+from vigil.streaming.folded import Folded
 from vigil.streaming.live import recent_counts, start_daily_counts, start_pipeline, stored, stream_incidents
 
 
@@ -102,3 +103,71 @@ def test_given_flags_are_kept(spark):
     with pytest.raises(ValueError):
         scored(without, arrivals(spark))
     assert process_incidents(knowledge(past.limit(0)), arrivals(spark)).assessments.count() == 0
+
+
+def _run_by_file(spark, df, known, tmp_path, files, **options):
+    """Every frame a file, every file a batch."""
+    for i, part in enumerate(files):
+        part.coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        arriving = stream_incidents(spark, str(tmp_path / "in"), df.schema)
+        start_pipeline(arriving, known, str(tmp_path / "out"), str(tmp_path / "check"), **options).awaitTermination()
+
+
+def test_a_batch_reads_neither_history_nor_stored_incidents(spark, tmp_path):
+    """After knowledge() the history may be gone, and so may what earlier batches stored."""
+    import shutil
+
+    df = arrivals(spark)
+    past = tmp_path / "past"
+    history(spark, f"{DATA}/sf0.001", CHAIN_COLUMNS).write.parquet(str(past))
+    known = knowledge(spark.read.parquet(str(past)))
+    shutil.rmtree(past)
+    first, second = df.filter("submitted_at < '2024-01-15'").persist(), df.filter("submitted_at >= '2024-01-15'").persist()
+    _run_by_file(spark, df, known, tmp_path, [first])
+    early = stored(spark, str(tmp_path / "out/assessments")).count()
+    for name in ("arrived", "incidents", "assessments"):
+        shutil.rmtree(tmp_path / "out" / name)
+    _run_by_file(spark, df, known, tmp_path, [second.unionByName(first.limit(7))])
+    again = stored(spark, str(tmp_path / "out/arrived")).select(df.columns)
+    assert again.count() == second.count()  # repeats of a batch whose files are gone are known by the state
+    whole = {r.incident_id: (r.dynamic_risk, r.risk_level) for r in scored(known, df).collect()}
+    late = {r.incident_id: (r.dynamic_risk, r.risk_level) for r in stored(spark, str(tmp_path / "out/assessments")).collect()}
+    assert early + len(late) == len(whole) and all(whole[i] == x for i, x in late.items())
+
+
+def test_a_repeat_many_batches_later_is_dropped(spark, known, tmp_path):
+    df = arrivals(spark).limit(40).persist()
+    parts = [df.filter(F.pmod(F.xxhash64("incident_id"), F.lit(4)) == i) for i in range(4)]
+    _run_by_file(spark, df, known, tmp_path, [*parts, parts[0].unionByName(parts[2])])
+    ids = [r.incident_id for r in stored(spark, str(tmp_path / "out/arrived")).collect()]
+    assert len(ids) == len(set(ids)) == df.count()
+
+
+def _counts(spark, rows, tmp_path):
+    spark.createDataFrame(rows, "district string, occurred_date string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    arriving = stream_incidents(spark, str(tmp_path / "in"), spark.createDataFrame([], "district string, occurred_date string").schema)
+    start_daily_counts(arriving, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+
+
+def test_daily_counts_write_what_changed(spark, tmp_path):
+    _counts(spark, [(f"d{i}", f"2024-01-{1 + i % 28:02d}") for i in range(200)], tmp_path)
+    _counts(spark, [("d3", "2024-01-04"), ("d3", "2024-01-04"), ("new", "2023-12-01")], tmp_path)
+    parts = sorted((tmp_path / "out").glob("batch=*"))
+    rows = [spark.read.parquet(str(p)).count() for p in parts]
+    assert rows == [200, 2]
+    assert {r.district: r.recent_count for r in recent_counts(spark, str(tmp_path / "out"), 60).collect()}["d3"] == 3
+
+
+@pytest.mark.parametrize("newest", [False, True])
+def test_folded_parts_stay_few(spark, tmp_path, newest):
+    table = Folded(spark, str(tmp_path / "t"), ["k"], "n", "k string, n bigint", newest, every=3)
+    want = {}
+    for batch in range(11):
+        rows = [(f"k{batch % 4}", batch + 1), ("all", 1)]
+        for _ in range(2):  # a batch that is tried again replaces itself
+            table.put(spark.createDataFrame(rows, "k string, n bigint"), batch)
+        for k, n in rows:
+            want[k] = n if newest else want.get(k, 0) + n
+        assert {r.k: r.n for r in table.upto(batch).collect()} == want
+        assert len(list((tmp_path / "t").glob("*=*"))) <= 3 * 3 + 2
+    assert {r.k: r.n for r in table.upto().collect()} == want

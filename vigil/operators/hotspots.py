@@ -26,18 +26,30 @@ def historical_hotspots(df: DataFrame, by: str = "district") -> DataFrame:
     )
 
 
-def emerging_hotspots(history: DataFrame, incoming: DataFrame, window_days: int = 7, by: str = "district") -> DataFrame:
-    """Recent against historical daily rate per place; the window ends with the newest incoming day.
+def activity(history: DataFrame, by: str = "district") -> DataFrame:
+    """(location, old_n, first, last): dated rows per place and their days; rows without a place count for the span only.
 
-    A place without history has the fixed high ratio, one with neither 1; emerging means half more than usual.
+    Activities of parts of a history merge by sum, least and largest.
     """
     past = history.filter("occurred_date is not null")
-    span = past.agg((F.datediff(F.max("occurred_date"), F.min("occurred_date")) + 1).alias("span"))
-    old = past.filter(F.col(by).isNotNull()).groupBy(F.col(by).alias("location")).agg(F.count(F.lit(1)).alias("old_n"))
+    return past.groupBy(F.col(by).alias("location")).agg(
+        F.count(F.lit(1)).alias("old_n"), F.min("occurred_date").alias("first"), F.max("occurred_date").alias("last")
+    )
+
+
+def daily_counts(incoming: DataFrame, by: str = "district") -> DataFrame:
+    """(day, location, n) of the dated rows, a null place included; counts of parts merge by sum."""
     dated = incoming.filter("occurred_date is not null")
-    newest = dated.agg(F.date_sub(F.max("occurred_date"), window_days - 1).alias("since"))
-    new = dated.crossJoin(F.broadcast(newest)).filter("occurred_date >= since").filter(F.col(by).isNotNull())
-    new = new.groupBy(F.col(by).alias("location")).agg(F.count(F.lit(1)).alias("recent_count"))
+    return dated.groupBy(F.col("occurred_date").alias("day"), F.col(by).alias("location")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def emerging_from(past: DataFrame, daily: DataFrame, window_days: int = 7) -> DataFrame:
+    """``emerging_hotspots`` of an ``activity`` and ``daily_counts``; the latter may have several rows per day and place."""
+    span = past.agg((F.datediff(F.max("last"), F.min("first")) + 1).alias("span"))
+    old = past.filter("location is not null").groupBy("location").agg(F.sum("old_n").alias("old_n"))
+    newest = daily.agg(F.date_sub(F.max("day"), window_days - 1).alias("since"))
+    new = daily.crossJoin(F.broadcast(newest)).filter("day >= since and location is not null")
+    new = new.groupBy("location").agg(F.sum("n").alias("recent_count"))
     df = old.join(new, "location", "full").crossJoin(F.broadcast(span)).withColumns({
         "recent_count": F.coalesce("recent_count", F.lit(0)), "old_n": F.coalesce("old_n", F.lit(0)),
     })
@@ -53,6 +65,14 @@ def emerging_hotspots(history: DataFrame, incoming: DataFrame, window_days: int
     )
 
 
+def emerging_hotspots(history: DataFrame, incoming: DataFrame, window_days: int = 7, by: str = "district") -> DataFrame:
+    """Recent against historical daily rate per place; the window ends with the newest incoming day.
+
+    A place without history has the fixed high ratio, one with neither 1; emerging means half more than usual.
+    """
+    return emerging_from(activity(history, by), daily_counts(incoming, by), window_days)
+
+
 def early_warnings(emerging: DataFrame) -> DataFrame:
     severity = F.when(F.col("ratio") >= 3, "CRITICAL").when(F.col("ratio") >= 2, "HIGH").otherwise("MODERATE")
     text = F.concat(F.col("location"), F.lit(": "), F.format_string("%.2f", "ratio"), F.lit(" times the usual activity"))

@@ -12,28 +12,29 @@ from vigil.operators.anomaly import IncidentForest, incident_forest, score_recor
 from vigil.operators.cleaning import (
     GIVEN_FLAGS, coverage_bounds, incident_record, valid_domains, validate_basic, within_coverage,
 )
-from vigil.operators.hotspots import emerging_hotspots
+from vigil.operators.hotspots import activity, daily_counts, emerging_from
 from vigil.operators.records import assessments
 from vigil.operators.risk import baseline_lookup, dynamic_risk, historical_baseline, recommend_priority, risk_alerts
 from vigil.shared import written
 
 
 class Knowledge(NamedTuple):
-    """What the history says, computed once for a batch or a stream."""
+    """What the history says, computed once for a batch or a stream; nothing reads the history itself after that."""
 
     history: DataFrame
     domains: DataFrame
     bounds: DataFrame
     baseline: DataFrame
+    activity: DataFrame
     anomalies: IncidentForest | None
 
 
 def knowledge(history: DataFrame, anomalies: bool = True) -> Knowledge:
     """``anomalies=False`` trains no forest, for arriving rows that bring their flags."""
-    small = valid_domains(history), coverage_bounds(history), historical_baseline(history)
+    small = valid_domains(history), coverage_bounds(history), historical_baseline(history), activity(history)
     if not anomalies:
         return Knowledge(history, *small, None)
-    small = [written(df, name) for df, name in zip(small, ("domains", "bounds", "baseline"), strict=True)]
+    small = [written(df, name) for df, name in zip(small, ("domains", "bounds", "baseline", "activity"), strict=True)]
     return Knowledge(history, *small, None if history.isEmpty() else incident_forest(history))
 
 
@@ -45,19 +46,29 @@ class Processed(NamedTuple):
     alerts: DataFrame
 
 
+def arrived_counts(arrived: DataFrame) -> DataFrame:
+    """(day, location, n) of arriving rows, whose dates are texts."""
+    return daily_counts(arrived.select("district", date_of(F.col("occurred_date")).alias("occurred_date")))
+
+
+def _recorded(known: Knowledge, checked: DataFrame) -> DataFrame:
+    return within_coverage(incident_record(checked.filter("valid")), known.bounds)
+
+
+def _rated(known: Knowledge, records: DataFrame, daily: DataFrame, window_days: int) -> DataFrame:
+    emerging = emerging_from(known.activity, daily, window_days).select(F.col("location").alias("_location"), "ratio")
+    based = baseline_lookup(_flagged(known, records.filter("in_coverage")), known.baseline)
+    return dynamic_risk(based.join(emerging, F.col("district") == F.col("_location"), "left").drop("_location"))
+
+
 def scored(known: Knowledge, arrived: DataFrame, window_days: int = 14, recent: DataFrame | None = None) -> DataFrame:
     """Valid incidents within the coverage with their dynamic risk.
 
     Flags of an anomaly come from the forest of the history, unless the arriving rows have ``is_anomaly``.
-    ``recent`` has the districts and dates that recent activity is counted from, the arrived ones by default.
+    ``recent`` has the daily counts that recent activity is taken from, those of the arrived rows by default.
     """
-    checked = validate_basic(arrived, known.domains)
-    records = within_coverage(incident_record(checked.filter("valid")), known.bounds)
-    inside = records.filter("in_coverage")
-    dated = (arrived if recent is None else recent).select("district", date_of(F.col("occurred_date")).alias("occurred_date"))
-    emerging = emerging_hotspots(known.history, dated, window_days).select(F.col("location").alias("_location"), "ratio")
-    based = baseline_lookup(_flagged(known, inside), known.baseline).join(emerging, F.col("district") == F.col("_location"), "left").drop("_location")
-    return dynamic_risk(based)
+    records = _recorded(known, validate_basic(arrived, known.domains))
+    return _rated(known, records, arrived_counts(arrived) if recent is None else recent, window_days)
 
 
 def _flagged(known: Knowledge, records: DataFrame) -> DataFrame:
@@ -72,10 +83,11 @@ def _flagged(known: Knowledge, records: DataFrame) -> DataFrame:
 
 
 def process_incidents(known: Knowledge, arrived: DataFrame, window_days: int = 14, recent: DataFrame | None = None) -> Processed:
-    """All results of a batch. Incidents outside the coverage are stored as received, without an assessment."""
-    checked = validate_basic(arrived, known.domains)
-    records = within_coverage(incident_record(checked.filter("valid")), known.bounds)
-    rated = scored(known, arrived, window_days, recent)
+    """All results of a batch, which is checked, recorded and rated once. Incidents outside the coverage are stored as
+    received, without an assessment."""
+    checked = written(validate_basic(arrived, known.domains), "checked")
+    records = written(_recorded(known, checked), "records")
+    rated = written(_rated(known, records, arrived_counts(arrived) if recent is None else recent, window_days), "rated")
     status = F.when(F.col("in_coverage"), "Processed").otherwise("Received")
     return Processed(
         checked.filter("not valid").select("incident_id", "errors"), records.drop(*GIVEN_FLAGS).withColumn("status", status),
