@@ -61,22 +61,29 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
 def train_isolation_forest(df: DataFrame, features: list[str], key: str, trees: int = 200, sample: int = 256, seed: int = 42) -> DataFrame:
     """The node table (tree, node, feature, threshold, left, right, path).
 
-    Each tree has ``sample`` rows (the method's own parameter) drawn uniformly from the whole table: a hash threshold per
-    tree lets through about twice as many, the least hashes of these are taken, and the threshold doubles until every
-    tree has its sample.
+    Each tree has ``sample`` rows (the method's own parameter) drawn uniformly from the whole table: every tree takes
+    each row with a chance that gives about twice as many, the least hashes of these are kept, and the chance doubles
+    until every tree has its sample. One hash per row is the gate that tells whether any tree takes it, which is all
+    that nearly every row needs; of the others a second hash names the first tree, and one each decides on later trees.
     """
     total = df.count()
     want = min(sample, total)
     share = 2.0 * want / max(total, 1)
     rows = df.select(F.col(key).alias("_key"), *features)
+    unit = lambda *x: F.shiftrightunsigned(F.xxhash64(*x, F.col("_key")), 11) / F.lit(float(2**53))
     while True:
-        limit = int(min(1.0, share) * 2**53)
-        numbers = F.array(*[
-            F.when(F.shiftrightunsigned(F.xxhash64(F.lit(seed * 100003 + t), F.col("_key")), 11) <= limit, F.lit(t)) for t in range(trees)
-        ])
-        drawn = rows.withColumn("tree", F.explode(F.filter(numbers, F.isnotnull)))
-        drawn = drawn.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.col("tree") + seed * 100003, F.col("_key")), 11))
-        drawn = written(drawn, "forest")
+        if share >= 1.0:
+            taken = F.sequence(F.lit(0), F.lit(trees - 1))
+            drawn = rows
+        else:
+            any_tree = -math.expm1(trees * math.log1p(-share))
+            drawn = rows.filter(unit(F.lit(f"{seed} gate")) < any_tree)
+            first = F.floor(F.log1p(-unit(F.lit(f"{seed} first")) * any_tree) / math.log1p(-share))
+            later = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: (t > F.col("_first")) & (unit(F.lit(f"{seed} later"), t) < share))
+            drawn = drawn.withColumn("_first", F.least(first.cast("int"), F.lit(trees - 1)))
+            taken = F.concat(F.array("_first"), later)
+        drawn = drawn.withColumn("tree", F.explode(taken)).withColumn("_h", F.xxhash64(F.lit(f"{seed} order"), "tree", "_key"))
+        drawn = written(drawn.select("_key", *features, "tree", "_h"), "forest")
         if share >= 1.0 or drawn.groupBy("tree").count().filter(F.col("count") >= want).count() == trees:
             break
         share *= 2

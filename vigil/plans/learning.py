@@ -159,9 +159,35 @@ def _loss(spark, sf_dir):
     return m.linear_regression(f.filter("is_train"), f.filter("not is_train"), [*CODES, "victim_count", "suspect_count"], "estimated_loss")[0]
 
 
-_add("loss_regression", lambda spark, sf_dir: m.regression_error(_loss(spark, sf_dir), "estimated_loss", "prediction"))
+def _solved(features: list[str], label: str, source: str) -> str:
+    """CTEs down to ``weights`` (w: list): the normal equations of the scaled features, solved column by column."""
+    n = len(features)
+    z = ", ".join(f"coalesce(({x} - avg({x}) over ()) / nullif(stddev_pop({x}) over (), 0), 0)" for x in features)
+    return f"""
+scaled as (select [{z}, {label} - avg({label}) over ()] as z from {source}),
+cells as (select i, j, avg(z[i] * z[j]) as v from scaled, range(1, {n + 1}) a(i), range(1, {n + 2}) b(j) group by i, j),
+lines as (select i, list(v order by j) as line from cells group by i),
+solve as (
+  select 1 as p, list(line order by i) as m from lines
+  union all
+  select p + 1, list_transform(m, lambda line, i: case when i = p then list_transform(line, lambda v: v / m[p][p])
+    else list_transform(line, lambda v, j: v - line[p] / m[p][p] * m[p][j]) end) from solve where p <= {n}),
+weights as (select list_transform(m, lambda line: line[{n + 1}]) as w from solve where p = {n + 1})"""
+
+
+LOSS_FEATURES = [*CODES, "victim_count", "suspect_count"]
+DRIVER_FEATURES = ["crime_type_code", "crime_severity_code", "victim_count", "suspect_count"]
+_GUESS = " + ".join(
+    f"(o.{x} - s.m_{x}) / s.s_{x} * w[{i}]" for i, x in enumerate(LOSS_FEATURES, 1))
+_add("loss_regression", lambda spark, sf_dir: m.regression_error(_loss(spark, sf_dir), "estimated_loss", "prediction"),
+     with_history(f"""select {rnd('avg(pow(estimated_loss - guess, 2))', 2)} as mse, {rnd('sqrt(avg(pow(estimated_loss - guess, 2)))', 4)} as rmse
+from (select o.estimated_loss, {rnd(f's.m_y + {_GUESS}', 4)} as guess from f o, weights,
+  (select avg(estimated_loss) as m_y, {', '.join(f'avg({x}) as m_{x}, stddev_pop({x}) as s_{x}' for x in LOSS_FEATURES)} from f where is_train) s
+  where not o.is_train)""", F_SQL, _solved(LOSS_FEATURES, "estimated_loss", "f where is_train").strip()).replace("with inc_base", "with recursive inc_base", 1))
 _add("investigation_drivers", lambda spark, sf_dir: m.drivers(
-    _features(spark, sf_dir, ("investigation_hours", "victim_count", "suspect_count")), ["crime_type_code", "crime_severity_code", "victim_count", "suspect_count"], "investigation_hours"))
+    _features(spark, sf_dir, ("investigation_hours", "victim_count", "suspect_count")), DRIVER_FEATURES, "investigation_hours"),
+    with_history(" union all ".join(f"select '{x}' as feature, {rnd(f'abs(w[{i}])', 4)} as weight from weights" for i, x in enumerate(DRIVER_FEATURES, 1)),
+                 F_SQL, _solved(DRIVER_FEATURES, "investigation_hours", "f").strip()).replace("with inc_base", "with recursive inc_base", 1))
 
 
 def _briefing(spark, sf_dir):
