@@ -162,3 +162,23 @@ def test_cluster_summary_counts(spark):
     assert (out.clusters, out.noise, out.largest_n, out.largest_district) == (2, 1, 50, "B")
     none = clusters.dbscan_summary(df, clusters.dbscan(df, 0.0001, 1000)).first()
     assert (none.clusters, none.noise, none.largest) == (0, 81, None)
+
+
+def test_nearest_rows_with_a_far_outlier(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 40, (200, 3))
+    x[0] = (10**6, 5, 5)
+    y = rng.random(200) < 0.5
+    asked = np.concatenate([x[:60], rng.integers(-20, 60, (60, 3)), [[10**6 - 7, 0, 0], [500_000, 3, 3]]])
+    train = spark.createDataFrame([(*map(int, r), bool(v)) for r, v in zip(x, y)], "a int, b int, c int, y boolean")
+    out = {(r.a, r.b, r.c): r.probability for r in learning.knn_probability(
+        train, spark.createDataFrame([tuple(map(int, r)) for r in asked], "a int, b int, c int"), ["a", "b", "c"], F.col("y")).collect()}
+    assert len(out) == len(np.unique(asked, axis=0))
+    for q in asked:
+        squared = ((x - q) ** 2).sum(axis=1)
+        votes = found = 0
+        for d in np.unique(squared):
+            tied = y[squared == d]
+            votes += min(len(tied), max(5 - found, 0)) * tied.mean()
+            found += len(tied)
+        assert out[tuple(map(int, q))] == pytest.approx(votes / 5, abs=1e-6)
