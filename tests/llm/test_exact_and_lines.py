@@ -70,10 +70,44 @@ def test_lines_keep_the_columns_and_batches_do_not_matter(spark):
     assert sorted(map(tuple, one.collect()), key=repr) == sorted(map(tuple, many.select("doc_id", "_kept").collect()), key=repr)
 
 
-def test_runs_are_levelled_and_keys_are_fresh_once(spark):
+def test_runs_are_levelled_and_every_key_has_one_entry(spark):
     runs = LineRuns(fanout=2)
-    for b in range(4):
-        runs.add(spark.createDataFrame([(b, b"common"), (b, bytes([b]))], "id long, key binary"))
-    assert [len(level) for level in runs.levels.values()] == [0, 0, 1]
-    found = {bytes(r.key): (r.documents, r.last, r.fresh) for r in runs.entries().collect()}
-    assert found[b"common"] == (4, 3, True) and found[b"\x02"] == (1, 2, True)
+    for b in range(5):
+        runs.add(spark.createDataFrame([(b, b"common"), (b, b"common"), (b, bytes([b]))], "id long, key binary"))
+    assert [len(level) for level in runs.levels.values()] == [1, 0, 1]
+    held = [bytes(r.key) for run in runs.runs() for r in run.collect()]
+    assert len(held) == len(set(held)) == 6
+    found = {bytes(r.key): (r.documents, r.last) for r in runs.entries().collect()}
+    assert found[b"common"] == (5, 4) and found[b"\x02"] == (1, 2)
+
+
+def test_counts_need_the_anti_join(spark, monkeypatch):
+    """A key that a run holds and that were entered once more would count twice."""
+    def most():
+        runs = LineRuns()
+        for ids in ([1], [2, 3, 4]):
+            runs.add(spark.createDataFrame([(i, b"line") for i in ids], "id long, key binary"))
+        return max(r.documents for r in runs.entries().collect())
+
+    assert most() == 4
+    frame = type(spark.range(1))
+    join = frame.join
+    monkeypatch.setattr(frame, "join", lambda self, other, on=None, how=None: self if how == "left_anti" else join(self, other, on, how))
+    assert most() == 6
+
+
+def test_rows_of_one_id_are_one_document(spark, duck):
+    import pandas as pd
+    from conftest import same_rows
+
+    from vigil.llm.queries import ORACLES
+
+    line = "A line that stands in several rows of few documents, repeatedly."
+    rows = [(i % 3, f"{line}\n{i}") for i in range(9)] + [(10 + i, f"{line.upper()} Again.\nrow {i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {(r.doc_id, r.n_dropped) for r in line_digest(docs).collect()}
+    assert out == {(0, 0), (1, 0), (2, 0), (10, 1), (11, 1), (12, 1), (13, 1), (14, 0)}
+    single = [(i, t) for i, t in rows if i >= 10] + rows[:3]
+    duck.register("own_lines", pd.DataFrame(single, columns=["doc_id", "text"]))
+    sql = ORACLES["op6_line_dedup"].replace("from documents", "from own_lines")
+    same_rows(line_digest(spark.createDataFrame(single, "doc_id long, text string")), duck.sql(sql))

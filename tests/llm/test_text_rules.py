@@ -142,3 +142,9 @@ def test_queries_against_sql(spark, duck, name):
     from vigil.llm.queries import ORACLES, QUERIES
 
     same_rows(QUERIES[name](spark, "/root/testdata/sf0.001"), duck.sql(ORACLES[name]))
+
+
+def test_only_ascii_letters_are_lowered(spark):
+    rows = [(1, "ALL RIGHTS RESERVED"), (2, "all r\u0130ghts reserved"), (3, "CC BY and \u212aELVIN \u00c9t\u00c9")]
+    out = {r.doc_id: (r.base_labels, r.n_words) for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: ("reserved", 3), 2: ("", 3), 3: ("cc-by", 5)}

@@ -19,7 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.text import text_or_empty
+from vigil.llm.text import ascii_lower, text_or_empty
 from vigil.shared import written
 
 # Fixed values of the output contract: phrase and label.
@@ -153,7 +153,7 @@ def license_scan(
     their table may be broadcast and the counts of their tokens may be collected.
     """
     templates = TEMPLATES if templates is None else templates
-    flat = F.trim(F.regexp_replace(F.lower(text_or_empty(text_col)), SEPARATORS, " "))
+    flat = F.trim(F.regexp_replace(ascii_lower(text_or_empty(text_col)), SEPARATORS, " "))
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), flat.alias("flat"))
     padded = F.concat(F.lit(" "), F.col("flat"), F.lit(" "))
     held = {label: F.contains(padded, F.lit(f" {phrase} ")) for phrase, label in BASE_PHRASES.items()}

@@ -1,10 +1,10 @@
 """Line deduplication over levelled sorted runs.
 
 The documents come in batches. A batch's line keys are aggregated (key, documents, largest id) and merge-joined against
-the runs written so far: keys that no run holds are the anti-join's part and become the fresh entries of the batch's
-own run, the others are its increments. Runs are Parquet tables in key order in the shared folder; when a level has
+the runs written so far: keys that no run holds are the anti-join's part and become the entries of the batch's own run, the
+others are increments of entries that are there. Runs are Parquet tables in key order in the shared folder; when a level has
 ``fanout`` runs they are compacted into one run of the next level, so a key is merged a logarithmic number of times.
-The sum over all runs says in how many documents a key stands and which document is the last.
+Every key has one entry, which with its increments says in how many documents the key stands and which is the last.
 """
 
 from __future__ import annotations
@@ -46,11 +46,12 @@ def long_line_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int)
 
 
 class LineRuns:
-    """The levels; ``add`` takes a batch of (id, key) with each key once a document."""
+    """The levels; ``add`` takes a batch of (id, key)."""
 
     def __init__(self, fanout: int = 3):
         self.fanout = fanout
         self.levels: dict[int, list[DataFrame]] = defaultdict(list)
+        self.more: list[DataFrame] = []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels.values() for run in level]
@@ -62,29 +63,30 @@ class LineRuns:
         return out
 
     def add(self, batch: DataFrame) -> None:
-        own = batch.groupBy("key").agg(F.count(F.lit(1)).alias("documents"), F.max("id").alias("last"))
+        """Counts a batch of (key, id) whose ids no other batch has: new keys become a run, those held by a run increments of it."""
+        own = batch.select("key", "id").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("documents"), F.max("id").alias("last"))
         if runs := self.runs():
-            held = self._union(runs).filter("fresh").select("key", F.lit(True).alias("held"))
-            own = own.join(held.hint("merge"), "key", "left").select(
-                "key", "documents", "last", F.col("held").isNull().alias("fresh")
-            )
-        else:
-            own = own.withColumn("fresh", F.lit(True))
+            own = written(own, "batch")
+            held = self._union(runs).select("key").hint("merge")
+            self.more.append(written(own.join(held, "key", "left_semi"), "increments"))
+            own = own.join(held, "key", "left_anti")
         self._put(own, 0)
 
     def _put(self, run: DataFrame, level: int) -> None:
         self.levels[level].append(written(run.sortWithinPartitions("key"), f"run{level}"))
         if len(self.levels[level]) >= self.fanout:
             runs, self.levels[level] = self.levels[level], []
-            self._put(self._merged(runs), level + 1)
-
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        return self._union(runs).groupBy("key").agg(
-            F.sum("documents").alias("documents"), F.max("last").alias("last"), F.max("fresh").alias("fresh")
-        )
+            self._put(self._union(runs), level + 1)
 
     def entries(self) -> DataFrame:
-        return self._merged(self.runs())
+        """(key, documents, last): the one entry of each key in the runs, and what later batches have added to it."""
+        runs = self._union(self.runs())
+        if not self.more:
+            return runs
+        more = self._union(self.more).groupBy("key").agg(F.sum("documents").alias("_documents"), F.max("last").alias("_last"))
+        return runs.join(more, "key", "left").select(
+            "key", (F.col("documents") + F.coalesce("_documents", F.lit(0))).alias("documents"), F.greatest("last", "_last").alias("last")
+        )
 
 
 def kept_lines(
@@ -94,8 +96,8 @@ def kept_lines(
     """``docs`` and the columns _n_lines, _n_dropped, _kept (the text without its dropped lines).
 
     Keys of at least ``min_chars`` code points that stand in at least ``min_docs`` documents lose all their lines but
-    those of the largest id. A null or empty text is one empty line, which is too short to go. Each row counts as a
-    document, also where an id repeats; rows of the largest id all keep the line. Rows without an id neither count nor
+    those of the largest id. A null or empty text is one empty line, which is too short to go. Rows of one id are one
+    document; those of the largest id all keep the line. Rows without an id neither count nor
     lose lines. Very long texts are handled whole, and an empty table gives an empty result.
     """
     keys = written(
