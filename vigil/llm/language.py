@@ -25,6 +25,7 @@ DIMS = 8192
 MAX_LABELS = 1000  # bounds the table of labels and the centroids, which go to every task
 LENGTHS = 24  # classes of text length, by powers of two
 FLOOR_TEXTS = 20  # that a floor is taken from, at least
+PART, ROWS = 1_000_000, 64  # bytes of text, and rows of counts, that a prediction holds at a time
 _FOLD = np.full(256, 0x20, np.uint32)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
 _FOLD[ord("a"):ord("z") + 1] = _FOLD[ord("A"):ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -178,14 +179,14 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def run(batches):
         m = shared.value
         for whole in batches:
-            for batch in slices(whole, text_col):
+            for batch in slices(whole, text_col, PART):
                 column = batch.column(text_col)
                 grams = Grams(column)
                 lang = np.full(batch.num_rows, "und", object)
                 score, accepted = np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
                 usable = [i for i in range(batch.num_rows) if len(m.languages) and grams.has_letter(i)]
-                for at in range(0, len(usable), 256):
-                    part = usable[at:at + 256]
+                for at in range(0, len(usable), ROWS):
+                    part = usable[at:at + ROWS]
                     counts = np.array([grams.counts(i) for i in part])
                     cosine = _vectors(counts, m.idf) @ m.centroids.T
                     best = cosine.argmax(axis=1)
