@@ -14,7 +14,7 @@ from vigil.llm.arrow_text import Words
 from vigil.llm.ngram_join import bands_and_rows, block_links, join_digest, one_of_each
 from vigil.llm.passages import minimisers
 from vigil.llm.phrase_automata import without_repeats
-from vigil.llm.suffix_dedup import common_words, repeated_passages
+from vigil.llm.suffix_dedup import WINDOW, positions, repeated_passages
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -98,9 +98,71 @@ def test_empty_tables(spark):
         assert f(empty(spark)).count() == 0
 
 
-def test_common_words():
-    assert common_words(b"aaaabbbbcccc", b"aaaabbbbxccc") == 2
-    assert common_words(b"", b"aaaa") == 0 and common_words(b"aaaa", b"aaaabbbb") == 1
+def expected_passages(texts, least=50):
+    """Of each id: the words in passages that another different document holds, and the ids that hold them."""
+    where = defaultdict(set)
+    words = {i: t.split() for i, t in texts}
+    for i, w in words.items():
+        for k in range(len(w) - least + 1):
+            where[tuple(w[k:k + least])].add(i)
+    out = {}
+    for i, w in words.items():
+        shared = [k for k in range(len(w) - least + 1) if len(where[tuple(w[k:k + least])]) > 1]
+        partners = set().union(*[where[tuple(w[k:k + least])] for k in shared]) - {i}
+        out[i] = {x for k in shared for x in range(k, k + least)}, partners
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 3, 20])
+def test_partners_are_found_in_a_crowd_of_partial_holders(spark, parts):
+    rng = np.random.default_rng(4)
+    own = lambda n: [f"o{x}" for x in rng.integers(0, 1 << 40, n)]
+    passage = [f"p{k}" for k in range(50)]
+    texts = [(1, own(30) + passage + own(30)), (2, own(9) + passage + own(70))]
+    for i in range(3, 963):
+        a = int(rng.integers(0, 20))
+        texts.append((i, own(20) + passage[a:a + int(rng.integers(30, 50))] + own(40)))
+    texts = [(i, " ".join(w)) for i, w in texts]
+    expected = expected_passages(texts)
+    assert len(expected[1][0]) == 50 and expected[1][1] == {2}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        out = repeated_passages(spark.createDataFrame(texts, "doc_id long, text string").repartition(parts)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    for r in out:
+        assert {x for s in r.spans for x in range(s["first"], s["last"])} == expected[r.doc_id][0]
+    assert {r.doc_id: r.partners for r in out if r.n_repeated} == {1: [2], 2: [1]}
+
+
+def test_passages_of_overlapping_cuts_and_repetitions(spark):
+    rng = np.random.default_rng(8)
+    source = [f"s{x}" for x in rng.integers(0, 400, 400)]
+    texts = []
+    for i in range(120):
+        a, n = int(rng.integers(0, 350)), int(rng.integers(20, 130))
+        cut = source[a:a + n]
+        if i % 4 == 0:
+            cut = cut + [f"u{i}"] + source[a // 2:a // 2 + int(rng.integers(45, 60))]
+        if i % 9 == 0:
+            cut = ["rep"] * int(rng.integers(40, 90)) + [f"v{i}"] + cut
+        if i % 13 == 0:
+            cut = cut + [f"w{i}"] + ["a", "b", "c"] * int(rng.integers(15, 30))
+        texts.append((i, " ".join([f"h{i}", *cut, f"t{i}"])))
+    expected = expected_passages(texts)
+    out = {r.doc_id: r for r in repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert sum(bool(e[0]) for e in expected.values()) > 60
+    for i, (shared, partners) in expected.items():
+        assert {x for s in out[i].spans for x in range(s["first"], s["last"])} == shared, i
+        assert out[i].n_repeated == len(shared) and set(out[i].partners) <= partners and bool(out[i].partners) == bool(partners)
+
+
+def test_positions_lie_in_their_windows():
+    grams = np.random.default_rng(1).integers(0, 50, 300).astype(np.uint64)
+    at = positions(grams, 270)
+    assert all(s <= p < s + WINDOW and grams[p] == grams[s:s + WINDOW].min() for s, p in enumerate(at))
+    with pytest.raises(ValueError):
+        repeated_passages(None, least=29)
 
 
 def grams(words):
@@ -170,25 +232,3 @@ def test_block_links_count_all_pairs(monkeypatch):
 def test_bands_reach_the_recall(threshold, recall):
     bands, per_band = bands_and_rows(threshold, recall)
     assert 1 - (1 - threshold**per_band) ** bands >= recall and bands * per_band <= 140
-
-
-def test_partition_boundaries_change_no_neighbours(spark):
-    import random
-
-    from vigil.llm.suffix_dedup import neighbours
-
-    rng = random.Random(9)
-    word = lambda n: bytes([0, 0, 0, n])
-    data, at = [], 0
-    for i in (1, 1, 1, 1, 1, 1, 2, 3, 3, 3, 3, 4, 4, 5, 1, 1, 1, 1, 2, 2):
-        at += 1
-        data.append((i, at, word(7) * 8 + word(at) + word(rng.randrange(9)), word(3) * 4))
-    df = spark.createDataFrame(data, "id long, at long, right binary, left binary")
-    found = []
-    for parts in (1, 2, 3, 5, 8, 20):
-        spark.conf.set("spark.sql.shuffle.partitions", parts)
-        spark.conf.set("spark.sql.adaptive.enabled", "false")
-        found.append({tuple(r) for r in neighbours(df, ["right", "left", "id", "at"], 10).collect()})
-        spark.conf.unset("spark.sql.adaptive.enabled")
-        spark.conf.set("spark.sql.shuffle.partitions", "8")
-    assert found[0] and all(f == found[0] for f in found)

@@ -1,173 +1,155 @@
 """Passages that repeat across documents, by sparse suffix arrays.
 
-Only the suffixes at minimiser positions are kept: every passage of ``GRAM + WINDOW - 1`` words has one, at the same
-place wherever it stands, so a repeated passage meets itself in the order of the suffixes. Suffixes whose gram stands in
-one document only are dropped first. The others are sorted over the whole corpus, once by the words that follow and
-once by the words that precede; neighbours are compared in both directions from the position, which extends the match
-to the right and to the left.
+Only the suffixes at minimiser positions are kept: every passage of ``least`` words holds, among its first ``WINDOW``
+grams, one such position at the same place wherever it stands, so at least ``least - WINDOW + 1`` of its words follow that
+position. Suffixes whose words up to there stand in one document only are dropped first. The others are sorted by those words
+and then by the words around the position: equal ones become neighbours, and a run is reduced to the least and the most
+of its ids while it is sorted, so a run has no length. The matches are then extended: of each different surrounding every
+way to share the ``least`` words between left and right of the position is compared once more with its neighbours, which
+misses no passage, however many other texts stand between two partners in the order of the suffixes.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.arrow_text import Words, slices
-from vigil.llm.passages import first_rows, minimisers, recurring, sequences, texts_of
+from vigil.llm.arrow_text import Words, _span_hashes, slices, utf8
+from vigil.llm.passages import first_rows, recurring, split_words, texts_of
 from vigil.shared import written
 
 GRAM = 10
 WINDOW = 21
-WORD_BYTES = 4  # of a word's hash in a sort key
+_STEP = 65536  # windows whose minimiser is sought at a time
+
 
-_MATCH = "id long, first long, last long, other long"
-_EDGE = _MATCH + ", part int, place long, at long, right binary, left binary, ends boolean"
+def positions(grams: np.ndarray, starts: int) -> np.ndarray:
+    """The place of the least of the ``WINDOW`` grams from each of the first ``starts`` words on, the first of equals."""
+    if starts <= 0:
+        return np.empty(0, np.int64)
+    view = np.lib.stride_tricks.sliding_window_view(grams[:starts + WINDOW - 1], WINDOW)
+    return np.concatenate([view[a:a + _STEP].argmin(axis=1) + np.arange(a, min(a + _STEP, starts)) for a in range(0, starts, _STEP)])
 
 
-def suffixes(texts: DataFrame, reach: int) -> DataFrame:
-    """(id, at, right, left): the hashed ``reach`` words from each recurring position on, and those before it, backwards."""
+def sequences(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """(id, text_hash, seq, n_words, anchors): anchors are the hashes of the words that follow the text's positions, each once."""
+    reach = least - WINDOW + 1
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                words = Words.of(batch.column("text"))
-                grams = words.windows(GRAM)
-                short = (words.hashes >> np.uint64(32)).astype(">u4")
-                ids, at, right, left = [], [], [], []
-                for i, (own_id, wanted) in enumerate(zip(batch.column("id").to_pylist(), batch.column("wanted").to_pylist(), strict=True)):
+                data, offsets = utf8(batch.column("text"))
+                words = Words(data, offsets)
+                grams, after = words.windows(GRAM), words.windows(reach)
+                n, seq, anchors = [], [], []
+                for i in range(batch.num_rows):
                     a, b = words.first[i:i + 2]
-                    own = grams[a:b - GRAM + 1]
-                    least = minimisers(own, WINDOW)
-                    for p in least[np.isin(own[least].view(np.int64), np.array(wanted, np.int64))]:
-                        ids.append(own_id)
-                        at.append(int(p))
-                        right.append(short[a + p:min(a + p + reach, b)].tobytes())
-                        left.append(short[max(a, a + p - reach):a + p][::-1].tobytes())
+                    digest = hashlib.sha256(b" ".join(split_words(data[offsets[i]:offsets[i + 1]].tobytes()))).digest()
+                    n.append(b - a)
+                    seq.append(int.from_bytes(digest[:8], "big", signed=True))
+                    at = np.unique(positions(grams[a:b - GRAM + 1], b - a - least + 1))
+                    anchors.append(np.unique(after[a + at]).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(right, pa.binary()), pa.array(left, pa.binary())],
-                    names=["id", "at", "right", "left"],
+                    [batch.column("id"), batch.column("text_hash"), pa.array(seq, pa.int64()), pa.array(n, pa.int64()), pa.array(anchors, pa.list_(pa.int64()))],
+                    names=["id", "text_hash", "seq", "n_words", "anchors"],
                 )
 
-    return texts.select("id", "text", "wanted").mapInArrow(run, "id long, at long, right binary, left binary")
-
-
-def common_words(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
-    return (n - (differ.bit_length() + 7) // 8) // WORD_BYTES
-
-
-def matched(x: tuple, y: tuple, least: int) -> list[tuple]:
-    """Both sides (id, first, last, other) of the match around two positions (id, at, right, left), if long enough."""
-    before, after = common_words(x[3], y[3]), common_words(x[2], y[2])
-    if before + after < least:
-        return []
-    return [(a[0], a[1] - before, a[1] + after, b[0]) for a, b in ((x, y), (y, x))]
-
-
-class _Line:
-    """Rows in order: each row of a run of one id is compared with the row before the run and the row after it."""
-
-    def __init__(self, least: int):
-        self.least = least
-        self.start()
-
-    def start(self) -> None:
-        self.run: list[tuple] = []  # the rows of the last id that stand next to each other
-        self.before: tuple | None = None  # the row before them
-
-    def add(self, row: tuple) -> list[tuple]:
-        out = []
-        if self.run and self.run[-1][0] != row[0]:
-            for earlier in self.run:
-                out += matched(earlier, row, self.least)
-            self.before, self.run = self.run[-1], []
-        elif self.before:
-            out += matched(self.before, row, self.least)
-        self.run.append(row)
-        return out
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return written(rows.mapInArrow(run, "id long, text_hash long, seq long, n_words long, anchors array<long>"), "sequences")
 
 
-def neighbours(rows: DataFrame, order: list[str], least: int) -> DataFrame:
-    """(id, first, last, other) of the matches between neighbours of different ids in the global order.
+def suffixes(texts: DataFrame, least: int) -> DataFrame:
+    """(id, start, right, around, windows): one row per recurring position of a text.
 
-    Of each partition the first run of an id with the row after it, and the last run with the row before it, are carried
-    on whole and compared once more with those of the partitions beside it, so boundaries change nothing.
+    right hashes the words that follow the position, windows the ``least`` words from word ``start`` on and from each
+    later one whose passage has this position; around hashes all of these, so equal rows have equal surroundings.
     """
+    reach = least - WINDOW + 1
 
     def run(batches):
-        part = TaskContext.get().partitionId()
-        line, place = _Line(least), -1
-        head: list[tuple] = []  # (place, row) up to the first row of the second run
-        for batch in batches:
-            out = []
-            columns = [batch.column(c).to_pylist() for c in ("id", "at", "right", "left")]
-            for place, row in enumerate(zip(*columns, strict=True), place + 1):  # noqa: B007
-                if place == len(head) and (not head or head[-1][1][0] == head[0][1][0]):
-                    head.append((place, row))
-                out += line.add(row)
-            yield _table(out, [], part)
-        if head:
-            tail = [*([line.before] if line.before else []), *line.run]
-            tail = list(enumerate(tail, place + 1 - len(tail)))
-            yield _table([], [*head, *[x for x in tail if x[0] > head[-1][0]]], part)
-
-    found = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, _EDGE), "neighbours")
-    edges = found.filter("ends").select("part", "place", "id", "at", "right", "left").coalesce(1).sortWithinPartitions("part", "place")
-
-    def across(batches):
-        """The ends of the partitions in order; where rows of a partition are left out, nothing is compared."""
-        line, last = _Line(least), None
-        for batch in batches:
-            out = []
-            for part, place, *row in zip(*[batch.column(c).to_pylist() for c in ("part", "place", "id", "at", "right", "left")], strict=True):
-                if last and last[0] == part and last[1] + 1 != place:
-                    line.start()
-                last = (part, place)
-                out += line.add(tuple(row))
-            yield _table(out, [], 0).select(["id", "first", "last", "other"])
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                words = Words.of(batch.column("text"))
+                grams, after, passages = words.windows(GRAM), words.windows(reach), words.windows(least)
+                wanted = batch.column("wanted")
+                ids, starts, rights, arounds, lengths, values = [], [], [], [], [], []
+                for i, own_id in enumerate(batch.column("id").to_pylist()):
+                    a, b = words.first[i:i + 2]
+                    count = max(b - a - least + 1, 0)
+                    at = positions(grams[a:b - GRAM + 1], count)
+                    right = after[a + at].view(np.int64)
+                    use = np.flatnonzero(np.isin(right, wanted[i].values.to_numpy()))
+                    if not len(use):
+                        continue
+                    own = passages[a:a + count][use]
+                    first = np.concatenate([[0], np.flatnonzero(np.diff(at[use])) + 1])
+                    ends = np.append(first[1:], len(use))
+                    ids.append(np.full(len(first), own_id, np.int64))
+                    starts.append(use[first])
+                    rights.append(right[use[first]])
+                    arounds.append(_span_hashes(own, first, ends).view(np.int64))
+                    lengths.append(ends - first)
+                    values.append(own.view(np.int64))
+                joined = [np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (ids, starts, rights, arounds, lengths, values)]
+                offsets = np.concatenate([[0], np.cumsum(joined[4])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array(x) for x in joined[:4]], pa.ListArray.from_arrays(pa.array(offsets), pa.array(joined[5]))],
+                    names=["id", "start", "right", "around", "windows"],
+                )
+
+    return texts.select("id", "text", "wanted").mapInArrow(run, "id long, start long, right long, around long, windows array<long>")
 
-    return found.filter("not ends").select("id", "first", "last", "other").unionByName(edges.mapInArrow(across, _MATCH))
 
+def matches(found: DataFrame, least: int) -> DataFrame:
+    """(id, first, last, others): of each position the words [first, last) that stand in another document, and ids that hold them.
 
-def _table(matches: list[tuple], ends: list[tuple], part: int) -> pa.RecordBatch:
-    rows = [(*m, part, None, None, None, None, False) for m in matches]
-    rows += [(e[0], None, None, None, part, place, *e[1:], True) for place, e in ends]
-    columns = list(zip(*rows, strict=True)) or [()] * 10
-    kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
-    names = ["id", "first", "last", "other", "part", "place", "at", "right", "left", "ends"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+    Any two passages of one position overlap, so what they cover is one stretch. Of a passage in several documents the
+    one with the smallest id has the largest as other, all else have the smallest.
+    """
+    runs = found.groupBy("right", "around").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("windows").alias("windows"))
+    splits = written(runs, "runs").select("right", "around", "low", "high", F.posexplode("windows").alias("split", "window"))
+    shared = splits.groupBy("right", "window").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high")
+    extended = splits.drop("low", "high").join(shared, ["right", "window"]).groupBy("right", "around").agg(
+        F.min("split").alias("from"), F.max("split").alias("upto"), F.collect_set(F.struct("low", "high")).alias("holders")
+    )
+    other = lambda h: F.when(h["low"] == F.col("id"), h["high"]).otherwise(h["low"])
+    return found.select("id", "start", "right", "around").join(extended, ["right", "around"]).select(
+        "id", (F.col("start") + F.col("from")).alias("first"), (F.col("start") + F.col("upto") + least).alias("last"),
+        F.array_distinct(F.transform("holders", other)).alias("others"),
+    )
 
 
 def passages(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """(id, first, last, other): words [first, last) of a document that also stand in another one; ids of distinct sequences."""
+    """The matches of documents of different words; of equal ones the smallest id stands for all."""
     usable = rows.filter(F.col("id").isNotNull() & (F.col("n_words") >= least))
-    anchors = usable.select("seq", F.explode(F.array_distinct("anchors")).alias("anchor"))
+    anchors = usable.select("seq", F.explode("anchors").alias("anchor")).distinct()
     wanted = written(recurring(anchors, "anchor", "seq").select("anchor"), "anchors")
     wanted = anchors.join(wanted, "anchor").groupBy("seq").agg(F.collect_set("anchor").alias("wanted"))
     needed = written(wanted.join(first_rows(usable), "seq").select("id", "text_hash", "seq", "wanted"), "needed")
-    found = written(suffixes(texts_of(docs, needed, id_col, text_col), least), "suffixes")
-    by_right = neighbours(found, ["right", "left", "id", "at"], least)
-    by_left = neighbours(found, ["left", "right", "id", "at"], least)
-    return written(by_right.unionByName(by_left).distinct(), "passages")
+    return matches(written(suffixes(texts_of(docs, needed, id_col, text_col), least), "suffixes"), least)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50) -> DataFrame:
     """One row per document: id, n_words, n_repeated, spans, partners.
 
     spans are the maximal stretches [first, last) of words covered by passages of ``least`` words or more that also
-    stand in another document, n_repeated the words in them, partners the ids of the neighbours that showed it, sorted.
+    stand in another document, n_repeated the words in them. partners are ids of other documents, sorted: of each passage
+    the smallest id that holds it, for that one the largest; so all that hold a passage are linked with one of them.
     Documents of equal words repeat each other as a whole if they are long enough; their passages are found once, for
     the smallest id, which the others have as partner. Null, empty and short texts have no spans. Rows without an id,
-    and rows that repeat an id, have the result of their words but are no partners of themselves.
+    and rows that repeat an id, have the result of their words but are no partners of themselves. An empty table gives
+    an empty result; a ``least`` in which a position may be missing is refused.
     """
-    rows = sequences(docs, id_col, text_col, GRAM, WINDOW, places=False)
+    if least < GRAM + WINDOW - 1:
+        raise ValueError(f"passages need at least {GRAM + WINDOW - 1} words")
+    rows = sequences(docs, id_col, text_col, least)
     found = passages(docs, rows, id_col, text_col, least)
     merged = found.groupBy("id").agg(
-        F.collect_set(F.struct("first", "last")).alias("all"), F.collect_set("other").alias("others")
+        F.collect_set(F.struct("first", "last")).alias("all"), F.array_distinct(F.flatten(F.collect_set("others"))).alias("others")
     )
 
     def merge(batches):
