@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 4_000_000  # bytes whose hashes are computed at a time
+CHUNK = 1_000_000  # bytes whose hashes are computed at a time
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
@@ -44,17 +44,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@functools.lru_cache(maxsize=1)
+def _table(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _BASE), np.full(n, _INVERSE)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
-def _span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least the first ``n`` powers of the base and of its inverse; one table serves all parts of usual size."""
+    usual = 1 << CHUNK.bit_length()
+    return _table(usual if n <= usual else 1 << (n - 1).bit_length())
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of values[start:end] for each pair, from one running sum."""
     n = len(values)
-    up, down = _powers(1 << max(n, 1024).bit_length())
+    up, down = _powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(values * up[:n], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
@@ -87,7 +93,7 @@ class Words:
             before = cut[cut > 0] - 1
             stops[before[inside[before]]] = True
             s, e = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-            hashes.append(_span_hashes(part.astype(np.uint64) + np.uint64(1), s, e))
+            hashes.append(span_hashes(part.astype(np.uint64) + np.uint64(1), s, e))
             starts.append(s + at)
             if places:
                 ends.append(e + at)
@@ -107,4 +113,4 @@ class Words:
         if n <= 0:
             return np.empty(0, np.uint64)
         starts = np.arange(n)
-        return _span_hashes(self.hashes, starts, starts + size)
+        return span_hashes(self.hashes, starts, starts + size)

@@ -136,13 +136,17 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encoded(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
+def encoded(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", digest_col: str | None = None) -> DataFrame:
     """``docs`` with the array of token ids of each text; a null text has no tokens.
 
     ``vocabulary`` is the path of a rank file that stands on every machine. Whole texts are encoded, whatever their
-    length; columns of ``docs`` named like ``ids_col`` are replaced.
+    length; columns of ``docs`` named like ``ids_col`` are replaced. With ``digest_col`` the ids are decoded again in the
+    same pass, and the column has the SHA-256 of the decoded bytes.
     """
-    rows = docs.drop(ids_col)
+    rows = docs.drop(ids_col, *([digest_col] if digest_col else []))
+    schema = StructType(list(rows.schema)).add(ids_col, ArrayType(IntegerType()))
+    if digest_col:
+        schema = schema.add(digest_col, "string")
 
     def run(batches):
         c = codec(vocabulary, pattern)
@@ -151,9 +155,12 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "tex
                 ids = c.encode_all(batch.column(text_col).to_pylist())
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids), pa.int32()))
-                yield batch.append_column(ids_col, lists)
+                batch = batch.append_column(ids_col, lists)
+                if digest_col:
+                    batch = batch.append_column(digest_col, pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids], pa.string()))
+                yield batch
 
-    return rows.mapInArrow(run, StructType(list(rows.schema)).add(ids_col, ArrayType(IntegerType())))
+    return rows.mapInArrow(run, schema)
 
 
 def decoded(rows: DataFrame, vocabulary: str, pattern: str, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from vigil.llm.arrow_text import slices, utf8
+from vigil.llm.text import apart
 from vigil.shared import written
 
 DIMS = 8192
@@ -232,6 +233,7 @@ def language_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+@apart
 def accepted_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """``docs`` without the documents that the classifier rejects; the columns stay as they are."""
     model = trained(docs, id_col, text_col, lang_col, **options)

@@ -14,7 +14,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.text import LOWER, SPACE_CHARS, UPPER, ascii_lower, sha256_hex, text_or_empty
+from vigil.llm.text import LOWER, SPACE_CHARS, UPPER, apart, ascii_lower, sha256_hex, text_or_empty
 from vigil.shared import written
 
 
@@ -89,6 +89,13 @@ class LineRuns:
         )
 
 
+@apart
+def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the lines that ``kept_lines`` drops; a null text stays null, the other columns as they are."""
+    kept = kept_lines(docs, id_col, text_col, **options)
+    return kept.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.col("_kept"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def kept_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5,
     batches: int = 4, fanout: int = 3,

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.text import word_count, words
+from vigil.llm.text import apart, word_count, words
 from vigil.ordered import running_sum
 from vigil.shared import written
 
@@ -159,6 +159,7 @@ def mix_digest(
     )
 
 
+@apart
 def mixed(
     docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, repeats: int = 2, block_words: int = 512,
     id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",

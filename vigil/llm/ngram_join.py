@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from vigil.graph import components
 from vigil.llm.arrow_text import Words, mix, slices
+from vigil.llm.text import apart
 from vigil.shared import written
 
 FEW = 32  # members up to which a bucket is paired
@@ -267,6 +268,7 @@ def join_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+@apart
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class of near copies: that of the smallest id; columns as they are.
 

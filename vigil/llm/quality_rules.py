@@ -119,7 +119,7 @@ def quality(
     named = {name: rule() if callable(rule) else rule for name, rule in (RULES if rules is None else rules).items()}
     total = docs.count()
     share = min(1.0, sample_rows / max(total, 1))
-    picked = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000))
+    picked = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 53)) < int(share * (1 << 53)))
     sample = written(base_columns(picked, id_col, text_col), "sample")
     order = rule_order(sample, named)
     rows = base_columns(docs, id_col, text_col)

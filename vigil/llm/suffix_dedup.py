@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.arrow_text import Words, _span_hashes, slices, utf8
+from vigil.llm.arrow_text import Words, slices, span_hashes, utf8
 from vigil.llm.passages import first_rows, recurring, split_words, texts_of
 from vigil.shared import written
 
@@ -91,7 +91,7 @@ def suffixes(texts: DataFrame, least: int) -> DataFrame:
                     ids.append(np.full(len(first), own_id, np.int64))
                     starts.append(use[first])
                     rights.append(right[use[first]])
-                    arounds.append(_span_hashes(own, first, ends).view(np.int64))
+                    arounds.append(span_hashes(own, first, ends).view(np.int64))
                     lengths.append(ends - first)
                     values.append(own.view(np.int64))
                 joined = [np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (ids, starts, rights, arounds, lengths, values)]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import functools
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the output contracts.
@@ -35,3 +38,25 @@ def ascii_lower(text: Column) -> Column:
 
 def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
+
+
+def apart(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``operator``, which returns the columns it is given, for rows whose columns may be named like its own.
+
+    Its own begin with an underscore, so the given ones that do are called otherwise meanwhile.
+    """
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        taken = {c.lower() for c in docs.columns}
+        named = {*(a for a in args if isinstance(a, str)), *(a for a in kwargs.values() if isinstance(a, str))}
+        names = []
+        for i, c in enumerate(docs.columns):
+            if c.startswith("_") and c not in named:
+                c = f"given_{i}"
+                while c in taken:
+                    c += "_"
+            names.append(c)
+        return operator(docs.toDF(*names), *args, **kwargs).toDF(*docs.columns)
+
+    return run
