@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vigil.llm.bpe import encoded
 from vigil.llm.language import accepted_languages
-from vigil.llm.line_dedup import kept_lines
+from vigil.llm.line_dedup import without_lines
 from vigil.llm.mixing import mixed
 from vigil.llm.ngram_join import one_of_each
 from vigil.shared import written
@@ -24,10 +24,10 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long lines that stand in five documents or more remain in the last of them only; n_chars follows the text."""
-    kept = kept_lines(docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col("_kept")))
+    kept = without_lines(docs)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +44,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and the token ids."""
+    """doc_id, lang, source, n_tokens, the token ids, and decoded_sha256 of the bytes they decode to."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = encoded(docs, path, public_tokenizers.PATTERN)
-    return ids.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
+    ids = encoded(docs, path, public_tokenizers.PATTERN, digest_col="decoded_sha256")
+    return ids.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "decoded_sha256")
 
 
 STAGES = [
