@@ -4,12 +4,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from fixture import documents, empty, rows
 from pyspark.sql import functions as F
 
 from vigil.llm.language import _floors, accepted_languages, language_digest
-from vigil.llm.mixing import mix_digest, mixed, schedule, source_targets
+from vigil.llm.mixing import mix_digest, mixed, schedule, scheduled, source_targets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -144,3 +145,28 @@ def test_schedule_is_even_and_whole(spark):
         part = order[at:at + 300]
         for s, own in per.items():
             assert abs(sum(r.source_no == s for r in part) - 300 * len(own) / len(order)) < 12
+
+
+def test_mixture_follows_the_schedule(spark, tmp_path):
+    rng = random.Random(8)
+    data = [(i, " ".join(["w"] * rng.randrange(5, 60)), "abc"[min(i % 5, 2)]) for i in range(3000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    args = ([3, 1, 2], 1.5, 2, 16, "doc_id", "source", "text")
+    order = sorted(scheduled(docs, *args).collect(), key=lambda r: r["_slot"])
+    first = {}
+    for r in order:
+        first.setdefault(r.doc_id, r["_slot"])
+    digest = {r.doc_id: r.first_slot for r in mix_digest(docs, block_words=16).collect()}
+    assert first == {i: slot for i, slot in digest.items() if slot is not None}
+    count = lambda some: {s: sum(len(r.text.split(" ")) for r in some if r.source == s) for s in "abc"}
+    whole = count(order)
+    for n in range(300, len(order), 300):
+        part = count(order[:n])
+        for s in "abc":
+            assert part[s] / sum(part.values()) == pytest.approx(whole[s] / sum(whole.values()), abs=0.02)
+    # each file that is written is in the order of the schedule
+    path = str(tmp_path / "mixture")
+    scheduled(docs, *args).write.parquet(path)
+    for file in (tmp_path / "mixture").glob("*.parquet"):
+        slots = pq.read_table(file).column("_slot").to_pylist()
+        assert slots == sorted(slots)

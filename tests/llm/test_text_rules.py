@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import public_tokenizers
 import pytest
 import tiktoken
@@ -10,7 +11,7 @@ from fixture import documents, empty, texts
 from pyspark.sql import functions as F
 
 from vigil.llm.bpe import Codec, decoded, encoded, read_ranks, token_digest
-from vigil.llm.license_scan import TEMPLATES, license_scan, template_tokens
+from vigil.llm.license_scan import TEMPLATES, license_scan, template_tokens, window
 from vigil.llm.quality_rules import RULES, base_columns, cascade, quality, rule_order
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -101,13 +102,12 @@ def test_licenses_against_brute_force(spark):
         places = {x: [k for k in range(len(words)) if words[k:k + len(p)] == p] for x, p in phrases.items()}
         labels, score = {x for x in places if places[x]}, 0.0
         base, at = ",".join(sorted(labels)), sorted(k for p in places.values() for k in p)
-        for line in text.split("\n"):
-            block = {w for w in split.split(line) if w}
-            for label, template in TEMPLATES.items():
-                tokens = set(template_tokens(template))
-                if len(block & tokens) >= 0.8 * len(tokens):
-                    labels.add(label)
-                    score = max(score, len(block & tokens) / len(tokens))
+        for label, template in TEMPLATES.items():
+            tokens, width = set(template_tokens(template)), window(template)
+            best = max((len(tokens & set(words[k:k + width])) for k in range(len(words))), default=0)
+            if best >= 0.8 * len(tokens):
+                labels.add(label)
+                score = max(score, best / len(tokens))
         expected.append((
             i, len(words), len(at), at[0] if at else None, at[-1] if at else None, base, ",".join(sorted(labels)), 1.0 if at else score
         ))
@@ -117,6 +117,9 @@ def test_licenses_against_brute_force(spark):
 
 
 def test_notices_are_found_wherever_lines_end(spark):
+    from vigil.llm.queries import ORACLES
+
+    duck = duckdb.connect()
     rng = random.Random(3)
     filler = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(n))
     cases, expected = [], {}
@@ -133,8 +136,12 @@ def test_notices_are_found_wherever_lines_end(spark):
         for before in (0, 1, 33, 34, 35, 67, 500):
             add(f"{filler(before)} " + notice.replace(" ", "\n * ") + f" {filler(40)}", label)
     df = spark.createDataFrame(cases, "doc_id long, text string")
-    out = {r.doc_id: set(filter(None, r.labels.split(","))) - {"gpl", "cc-by"} for r in license_scan(df).collect()}
+    found = license_scan(df)
+    out = {r.doc_id: set(filter(None, r.labels.split(","))) - {"gpl", "cc-by"} for r in found.collect()}
     assert out == {i: {label} - {""} for i, label in expected.items()}
+    duck.register("documents", df.toPandas())
+    same_rows(found, duck.sql(ORACLES["op7_license_scan"]))
+    duck.unregister("documents")
 
 
 @pytest.mark.parametrize("name", ["op3_quality_rules", "op4_phrase_automata", "op5_exact_dedup", "op6_line_dedup", "op7_license_scan"])

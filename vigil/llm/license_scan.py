@@ -4,7 +4,7 @@ A template is looked for in every window of twice as many words as it has, where
 found and so is one with words put in, while words that stand far apart aren't taken together. A block is a stretch of
 words that two of the longest windows fill, and begins where the first half of the one before ends: each window lies in
 a block. Only template tokens can overlap with a template, so a block is represented by the set of template
-tokens it holds. Tokens are ordered by their frequency over all blocks that any template may fit, rarest first. A
+tokens it holds. Tokens are ordered by their frequency over all blocks, rarest first. A
 template with ``t`` tokens needs an overlap of ``a = ceil(threshold * t)``: the pair must then share a token among the
 first ``t - a + 1`` of the template and the first ``b - a + 1`` of the block (prefix filter), the block must hold ``a``
 tokens (length filter), and enough tokens must follow the shared one on both sides (positional filter). What is left is
@@ -57,26 +57,44 @@ def _needed(templates: dict[str, str], threshold: float) -> dict[str, int]:
     return {label: math.ceil(threshold * len(template_tokens(text))) for label, text in templates.items()}
 
 
-def _blocks(words: Column, templates: dict[str, str], threshold: float) -> Column:
-    """Blocks (tokens, words) of an array of words that hold enough tokens of some template."""
-    sets = {label: template_tokens(text) for label, text in templates.items()}
-    need = _needed(templates, threshold)
-    vocabulary = F.array(*[F.lit(t) for t in sorted({t for tokens in sets.values() for t in tokens})])
+def _texts(tokens: list[str]) -> Column:
+    return F.array(*map(F.lit, tokens))
+
+
+def _blocks(words: Column, templates: dict[str, str]) -> Column:
+    """The blocks of an array of words, as arrays of words: two of the longest windows long, half of it into the next."""
     step = max(map(window, templates.values()))
+    starts = lambda w: F.sequence(F.lit(1), F.size(w), F.lit(step))
+    return _bound(words, lambda w: F.transform(starts(w), lambda at: F.slice(w, at, 2 * step)))
 
-    def fits(tokens):
-        out = F.lit(False)
-        for label, some in sets.items():
-            out = out | (F.size(F.array_intersect(tokens, F.array(*map(F.lit, some)))) >= need[label])
-        return (F.size(tokens) >= min(need.values())) & out
 
-    def cut(w):
-        starts = F.sequence(F.lit(1), F.size(w), F.lit(step))
-        held = F.transform(starts, lambda at: F.struct(F.array_intersect(F.slice(w, at, 2 * step), vocabulary).alias("tokens"), at.alias("at")))
-        held = F.filter(held, lambda x: fits(x["tokens"]))
-        return F.transform(held, lambda x: F.struct(x["tokens"].alias("tokens"), F.slice(w, x["at"], 2 * step).alias("words")))
+def token_order(words: DataFrame, templates: dict[str, str]) -> list[str]:
+    """The templates' tokens by the number of blocks that hold them, rarest first, ties by code point.
 
-    return _bound(words, cut)
+    ``words``: one column ``words``, an array a text. One row per token comes back, of a fixed list of templates.
+    """
+    tokens = sorted({t for text in templates.values() for t in template_tokens(text)})
+    blocks = words.select(F.explode(_blocks(F.col("words"), templates)).alias("block"))
+    held = blocks.select(F.explode(F.array_intersect(_texts(tokens), "block")).alias("token"))
+    counts = {r["token"]: r["count"] for r in held.groupBy("token").count().collect()}
+    return sorted(tokens, key=lambda t: (counts.get(t, 0), t))
+
+
+def _prefixes(templates: dict[str, str], order: list[str], threshold: float) -> dict[str, list[str]]:
+    """The rarest tokens of each template, of which every block that meets the threshold holds one."""
+    at = {t: i for i, t in enumerate(order)}
+    need = _needed(templates, threshold)
+    ranked = {label: sorted(template_tokens(text), key=at.__getitem__) for label, text in templates.items()}
+    return {label: tokens[: len(tokens) - need[label] + 1] for label, tokens in ranked.items()}
+
+
+def _candidates(words: Column, templates: dict[str, str], order: list[str], threshold: float) -> Column:
+    """(block, words) of the blocks with a token of some template's prefix: block, its template tokens, rarest first."""
+    least = min(_needed(templates, threshold).values())
+    some = _texts(sorted({t for tokens in _prefixes(templates, order, threshold).values() for t in tokens}))
+    blocks = F.filter(_blocks(words, templates), lambda w: F.arrays_overlap(w, some))
+    held = F.transform(blocks, lambda w: F.struct(F.array_intersect(_texts(order), w).alias("block"), w.alias("words")))
+    return F.filter(held, lambda x: F.size(x["block"]) >= least)
 
 
 def _starts(words: Column, phrase: str) -> Column:
@@ -97,31 +115,24 @@ def _bound(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def matches(blocks: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+def matches(blocks: DataFrame, templates: dict[str, str], order: list[str], threshold: float) -> DataFrame:
     """(row, label, containment) of every block-template pair with a window that meets the threshold, by the best window.
 
-    ``blocks``: row, tokens, words.
+    ``blocks``: row, block (template tokens in ``order``), words.
     """
-    sets = {label: template_tokens(text) for label, text in templates.items()}
     need = _needed(templates, threshold)
-    spark = blocks.sparkSession
-    counts = {r["token"]: r["count"] for r in blocks.select(F.explode("tokens").alias("token")).groupBy("token").count().collect()}
-    order = sorted({t for s in sets.values() for t in s}, key=lambda t: (counts.get(t, 0), t))
     at = {t: i for i, t in enumerate(order)}
+    spark = blocks.sparkSession
     rows = []
-    for label, tokens in sets.items():
-        ranked = sorted(tokens, key=at.__getitem__)
-        template = F.array(*map(F.lit, ranked)).alias("template")
+    for label, prefix in _prefixes(templates, order, threshold).items():
+        template = _texts(sorted(template_tokens(templates[label]), key=at.__getitem__)).alias("template")
         rows += [
             F.struct(F.lit(t).alias("token"), F.lit(j).alias("j"), F.lit(label).alias("label"), template, F.lit(need[label]).alias("need"), F.lit(window(templates[label])).alias("width"))
-            for j, t in enumerate(ranked[: len(ranked) - need[label] + 1])
+            for j, t in enumerate(prefix)
         ]
     prefixes = spark.range(1).select(F.inline(F.array(*rows)))
     least = min(need.values())
-    ranked = blocks.filter(F.size("tokens") >= least).select(
-        "row", "words", F.array_intersect(F.array(*map(F.lit, order)), "tokens").alias("block")
-    )
-    block_prefix = ranked.select(
+    block_prefix = blocks.select(
         "row", "words", "block", F.posexplode(F.slice("block", F.lit(1), F.size("block") - (least - 1))).alias("i", "token")
     )
     fits = (
@@ -133,7 +144,7 @@ def matches(blocks: DataFrame, templates: dict[str, str], threshold: float) -> D
     overlap = F.array_max(within)
     return (
         block_prefix.join(F.broadcast(prefixes), "token")
-        .filter(fits & (F.size(F.array_intersect("block", "template")) >= F.col("need")))
+        .filter(fits)
         .withColumn("overlap", overlap)
         .filter(F.col("overlap") >= F.col("need"))
         .select("row", "label", (F.col("overlap") / F.size("template")).alias("containment"))
@@ -158,6 +169,7 @@ def license_scan(
     padded = F.concat(F.lit(" "), F.col("flat"), F.lit(" "))
     held = {label: F.contains(padded, F.lit(f" {phrase} ")) for phrase, label in BASE_PHRASES.items()}
     words = F.split("flat", " ", -1)
+    order = token_order(rows.select(words.alias("words")), templates)
     some = held["cc-by"] | held["gpl"] | held["reserved"]
     starts = _bound(words, lambda w: F.struct(*[_starts(w, phrase).alias(label) for phrase, label in BASE_PHRASES.items()]))
     base = written(
@@ -167,12 +179,12 @@ def license_scan(
             .otherwise(F.octet_length("flat") - F.octet_length(F.replace("flat", F.lit(" "), F.lit(""))) + 1)
             .cast("long").alias("n_words"),
             F.when(some, starts).alias("starts"),
-            _blocks(words, templates, threshold).alias("blocks"),
+            _candidates(words, templates, order, threshold).alias("blocks"),
         ),
         "license",
     )
     blocks = base.select("row", F.inline("blocks"))
-    found = matches(blocks, templates, threshold).groupBy("row").agg(
+    found = matches(blocks, templates, order, threshold).groupBy("row").agg(
         F.collect_set("label").alias("more"), F.max("containment").alias("best")
     )
     labels = list(BASE_PHRASES.values())

@@ -107,7 +107,7 @@ def schedule(sources: DataFrame, block_words: int) -> DataFrame:
 
 
 def mixture(sizes: DataFrame, weights: list[float], share: float, repeats: int, block_words: int) -> tuple[DataFrame, DataFrame]:
-    """From (row, id, source, size): the sources, and the pieces (row, slot, epoch, first, last) in words of a document."""
+    """From (row, id, source, size): the sources, and the pieces (row, slot, epoch, start, first, last), the last two in words of a document."""
     sources = written(source_targets(sizes, weights, share, repeats), "sources")
     numbers = sources.select(F.col("source").alias("_source"), "source_no", "documents")
     shuffled = sizes.filter("size > 0").join(numbers, F.col("source").eqNullSafe(F.col("_source"))).select(
@@ -122,7 +122,7 @@ def mixture(sizes: DataFrame, weights: list[float], share: float, repeats: int,
     blocks = F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))
     pieces = line.select("*", F.explode(blocks).alias("block"))
     taken = pieces.join(schedule(sources, block_words), ["source_no", "block"]).select(
-        "row", "slot", "epoch",
+        "row", "slot", "epoch", "start",
         (F.greatest("start", "from_word") - F.col("start")).alias("first"),
         (F.least(F.col("start") + F.col("size"), F.col("to_word")) - F.col("start")).alias("last"),
     )
@@ -140,7 +140,8 @@ def mix_digest(
     docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, repeats: int = 2, block_words: int = 512,
     id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
 ) -> DataFrame:
-    """One row per document: id, size, source_size, target (its source's), taken (words the mix takes, repeats counted).
+    """One row per document: id, size, source_size, target (its source's), taken (words the mix takes, repeats counted),
+    first_slot (the place in the schedule at which it is first taken, null where it never is).
 
     A null or empty text has size 0 and is never taken; a null source is a source of its own, the last. Rows that
     repeat an id each count. A source's taken words sum up to its rounded target, and no document is taken more than
@@ -148,13 +149,14 @@ def mix_digest(
     """
     sizes = written(_sizes(docs, id_col, source_col, text_col), "sizes")
     sources, pieces = mixture(sizes, list(weights), share, repeats, block_words)
-    taken = pieces.groupBy("row").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
+    taken = pieces.groupBy("row").agg(F.sum(F.col("last") - F.col("first")).alias("taken"), F.min("slot").alias("first_slot"))
     about = sources.select(F.col("source").alias("_source"), "source_size", "target")
     return (
         sizes.join(taken, "row", "left")
         .join(about, F.col("source").eqNullSafe(F.col("_source")))
         .select(
-            F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+            F.col("id").alias(id_col), "size", "source_size", "target",
+            F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot",
         )
     )
 
@@ -167,7 +169,16 @@ def mixed(
     """The mixture itself, with the columns of ``docs``: a row for each round in which a document is taken.
 
     A document that a round takes in part, at the end of a source's share, has only those words, joined by one space.
+    Rows are dealt over the partitions by hash, and each partition is in the order of the schedule, by the slot at which
+    the round reaches the document: written out, every file begins with the sources in their shares and goes on so.
     """
+    return scheduled(docs, weights, share, repeats, block_words, id_col, source_col, text_col).drop("_slot")
+
+
+def scheduled(
+    docs: DataFrame, weights: list[float], share: float, repeats: int, block_words: int, id_col: str, source_col: str, text_col: str,
+) -> DataFrame:
+    """``mixed`` with _slot, a row's place in the schedule; rows that share a slot follow each other in their source's line."""
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "mixed")
     sizes = rows.select(
         F.col("_row").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"),
@@ -175,12 +186,15 @@ def mixed(
     )
     sizes = written(sizes, "sizes")
     _, pieces = mixture(sizes, list(weights), share, repeats, block_words)
-    rounds = pieces.groupBy("row", "epoch").agg(F.min("first").alias("_first"), F.max("last").alias("_last"))
+    rounds = pieces.groupBy("row", "epoch").agg(
+        F.min("first").alias("_first"), F.max("last").alias("_last"), F.min("slot").alias("_slot"), F.min("start").alias("_start")
+    )
     rounds = rounds.join(sizes.select("row", F.col("size").alias("_size")), "row").drop("epoch")
     part = F.array_join(F.slice(words(F.col(text_col)), (F.col("_first") + 1).cast("int"), (F.col("_last") - F.col("_first")).cast("int")), " ")
     whole = (F.col("_first") == 0) & (F.col("_last") == F.col("_size"))
     return (
         rows.join(rounds.withColumnRenamed("row", "_taken_row").hint("shuffle_hash"), F.col("_row") == F.col("_taken_row"))
         .withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(part))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        .sortWithinPartitions("_slot", "_start")
+        .select(*[F.col(f"`{c}`") for c in docs.columns], "_slot")
     )

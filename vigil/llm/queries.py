@@ -99,17 +99,17 @@ QUERIES = {
 UPPER_TO_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
-#: The notices of op7 as the brute-force comparison reads them.
+#: The notices of op7 as the brute-force comparison reads them: label, words of a window, tokens.
 NOTICES = """
-('apache-2.0', ['2', '0', 'apache', 'license', 'licensed', 'the', 'under', 'version']),
-('bsd', ['and', 'are', 'binary', 'forms', 'in', 'modification', 'or', 'permitted', 'redistribution', 'source', 'use', 'with', 'without']),
-('cc-by-4.0', ['0', '4', 'a', 'attribution', 'commons', 'creative', 'international', 'is', 'license', 'licensed', 'this', 'under', 'work']),
-('cc-by-nc-4.0', ['0', '4', 'by', 'cc', 'licensed', 'nc', 'under']),
-('gpl-3.0', ['3', 'general', 'gnu', 'is', 'license', 'licensed', 'public', 'the', 'this', 'under', 'version', 'work']),
-('mit', ['license', 'mit', 'released', 'the', 'under']),
-('mit-grant', ['a', 'any', 'charge', 'copy', 'free', 'granted', 'hereby', 'is', 'obtaining', 'of', 'permission', 'person', 'software', 'this', 'to']),
-('mpl-2.0', ['0', '2', 'code', 'form', 'is', 'license', 'mozilla', 'of', 'public', 'source', 'subject', 'terms', 'the', 'this', 'to', 'v']),
-('public-domain', ['and', 'domain', 'free', 'into', 'is', 'public', 'released', 'software', 'the', 'this', 'unencumbered'])"""
+('apache-2.0', 16, ['2', '0', 'apache', 'license', 'licensed', 'the', 'under', 'version']),
+('bsd', 28, ['and', 'are', 'binary', 'forms', 'in', 'modification', 'or', 'permitted', 'redistribution', 'source', 'use', 'with', 'without']),
+('cc-by-4.0', 26, ['0', '4', 'a', 'attribution', 'commons', 'creative', 'international', 'is', 'license', 'licensed', 'this', 'under', 'work']),
+('cc-by-nc-4.0', 14, ['0', '4', 'by', 'cc', 'licensed', 'nc', 'under']),
+('gpl-3.0', 24, ['3', 'general', 'gnu', 'is', 'license', 'licensed', 'public', 'the', 'this', 'under', 'version', 'work']),
+('mit', 10, ['license', 'mit', 'released', 'the', 'under']),
+('mit-grant', 32, ['a', 'any', 'charge', 'copy', 'free', 'granted', 'hereby', 'is', 'obtaining', 'of', 'permission', 'person', 'software', 'this', 'to']),
+('mpl-2.0', 34, ['0', '2', 'code', 'form', 'is', 'license', 'mozilla', 'of', 'public', 'source', 'subject', 'terms', 'the', 'this', 'to', 'v']),
+('public-domain', 22, ['and', 'domain', 'free', 'into', 'is', 'public', 'released', 'software', 'the', 'this', 'unencumbered'])"""
 WORDS7 = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 ORACLES = {
@@ -121,10 +121,11 @@ p as (select doc_id, len(w) as n_words,
   list_filter(range(len(w)), lambda i: w[i + 1] = 'general' and coalesce(w[i + 2] = 'public' and w[i + 3] = 'license', false)) as gpl,
   list_filter(range(len(w)), lambda i: w[i + 1] = 'all' and coalesce(w[i + 2] = 'rights' and w[i + 3] = 'reserved', false)) as res
   from w),
-b as (select doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), {WORDS7})) as block from d),
-n(label, tokens) as (values {NOTICES}),
-m as (select doc_id, label, max(len(list_intersect(block, tokens)) / len(tokens)) as best from b, n
-  where len(list_intersect(block, tokens)) >= 0.8 * len(tokens) group by all),
+n(label, width, tokens) as (values {NOTICES}),
+a as (select doc_id, w, label, width, tokens from w, n where len(list_intersect(w, tokens)) >= 0.8 * len(tokens)),
+b as (select doc_id, label, tokens, w[i + 1:i + width] as part from (select *, unnest(range(len(w))) as i from a)),
+m as (select doc_id, label, max(len(list_intersect(part, tokens)) / len(tokens)) as best from b
+  where len(list_intersect(part, tokens)) >= 0.8 * len(tokens) group by all),
 f as (select doc_id, list(label) as more, max(best) as best from m group by doc_id),
 s as (select p.*, list_concat(cc, list_concat(gpl, res)) as places,
   list_concat(case when len(cc) > 0 then ['cc-by'] else [] end, list_concat(case when len(gpl) > 0 then ['gpl'] else [] end,
