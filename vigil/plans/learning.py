@@ -223,7 +223,7 @@ def _anomaly_rows(spark, sf_dir):
 
 
 def _scored(spark, sf_dir, trees: int = 200):
-    rows = history(spark, sf_dir, A_COLUMNS)
+    rows = written(history(spark, sf_dir, A_COLUMNS), "history")
     known = a.incident_forest(rows, trees=trees)
     return a.forest_scores(a.coded(rows, known.codes), known.forest)
 
