@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vigil.functions import expr as e
 from vigil.graph import components
 from vigil.operators import anomaly, cleaning, clusters, dashboard, hotspots, learning, records, risk
-from vigil.ordered import dense_codes, quantile, running_sum
+from vigil.ordered import dense_codes, quantile, quantile_by_step, running_sum
 
 INCIDENT = "district string, occurred_date date, crime_severity string, weapon_used string, domestic_related string, gang_related string, estimated_loss int"
 
@@ -288,3 +288,64 @@ def test_month_reports_are_filled(spark):
     df = spark.createDataFrame([("T", "May"), ("T", "May"), ("U", "June")], "crime_type string, month string")
     out = {(r.crime_type, r.month): r.n for r in dashboard.month_crime(df).collect()}
     assert len(out) == 24 and out["T", "May"] == 2 and out["U", "May"] == 0
+
+
+def walked(x, tree):
+    """The path of one row, node by node."""
+    node = 0
+    while tree[node][0] >= 0:
+        feature, threshold, left, right, _path = tree[node]
+        v = x[int(feature)]
+        node = int(right if np.isnan(v) or v > threshold else left)
+    return tree[node][4]
+
+
+@pytest.mark.parametrize("sample, depth", [(256, 8), (40, 6), (2000, 11), (1, 1)])
+def test_paths_are_those_of_the_trees(sample, depth):
+    """Rows on a threshold go left, no number goes right, trees differ in depth, and row counts are no multiple of a word."""
+    rng = np.random.default_rng(5)
+    data = lambda n: np.stack([rng.integers(0, 3, n), rng.integers(0, 40, n), np.round(rng.normal(size=n), 1), np.full(n, 7), rng.normal(size=n)]).astype(float)
+    trees = [anomaly._grow(data(sample if k % 5 else 3).T, np.random.default_rng(k), depth) for k in range(12)]
+    tables = [np.array(t, float) for t in trees]
+    ways = anomaly._ways([anomaly._even(t, anomaly._depth_of(t)) for t in tables], 5)
+    for n in (0, 1, 63, 64, 65, 500):
+        x = data(n)
+        if n > 60:
+            x[1, ::7], x[4, 5], x[4, 6], x[2, 3] = np.nan, np.inf, -np.inf, np.nan
+            for i, (f, t) in enumerate([(f, t) for f, t, *_ in trees[1] if f >= 0][:50]):
+                x[f, i] = t
+        expected = np.zeros(n)
+        for t in trees:
+            expected += np.array([walked(x[:, i], t) for i in range(n)])
+        assert (anomaly._path_lengths(x, ways) == expected).all()
+
+
+def test_a_rated_history_goes_down_the_trees_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(f"i{i}", f"t{v % 5}", None if v % 7 == 0 else f"d{v % 3}", float(v)) for i, v in enumerate(rng.integers(0, 1000, 3000))]
+    history = spark.createDataFrame([*rows, *rows[:40]], "incident_id string, crime_type string, district string, estimated_loss double").persist()
+    sent = []
+    scores = anomaly.path_scores
+    monkeypatch.setattr(anomaly, "path_scores", lambda df, *x: sent.append(df.count()) or scores(df, *x))
+    out = anomaly.rated_history(history, ("crime_type",), trees=20)
+    assert out.columns == ["incident_id", "is_anomaly", "anomaly_score", "crime_type"] and out.count() == 3040
+    again = anomaly.forest_scores(*(lambda known: (anomaly._coded_history(history, "incident_id")[0], known.forest))(anomaly.incident_forest(history, trees=20)))
+    key = lambda df: sorted((r.incident_id, r.is_anomaly, r.anomaly_score) for r in df.collect())
+    assert key(out) == key(again)
+    whole = anomaly._coded_history(history, "incident_id")[0]
+    assert key(anomaly.score_isolation_forest(whole, whole, anomaly.FEATURES, "incident_id", trees=20)) == key(out)
+    assert sent == [3040] * 4  # rated_history: once; incident_forest and forest_scores; score_isolation_forest: once
+    plan = scores(whole, anomaly.train_isolation_forest(whole, anomaly.FEATURES, "incident_id", trees=2), anomaly.FEATURES)
+    plan = plan._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    history.unpersist()
+
+
+@pytest.mark.parametrize("step", [2.0**-16, 50.0])
+def test_quantile_by_step_is_the_quantile(spark, step):
+    rng = np.random.default_rng(6)
+    for values in (list(rng.normal(size=701)), [0.5] * 9 + [-0.25], [1.0], list(np.round(rng.normal(size=300), 1)), [1.0, 2.0]):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        for share in (0.0, 0.05, 1.0):
+            assert quantile_by_step(df, "v", share, "q", step).first().q == pytest.approx(np.quantile(values, share), abs=1e-12)
+    assert quantile_by_step(df.limit(0), "v", 0.5, "q", step).first().q is None

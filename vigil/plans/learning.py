@@ -222,18 +222,16 @@ def _anomaly_rows(spark, sf_dir):
     return a.anomaly_features(history(spark, sf_dir, A_COLUMNS))
 
 
-def _scored(spark, sf_dir, trees: int = 200):
-    rows = written(history(spark, sf_dir, A_COLUMNS), "history")
-    known = a.incident_forest(rows, trees=trees)
-    return a.forest_scores(a.coded(rows, known.codes), known.forest)
+def _scored(spark, sf_dir, *kept: str, trees: int = 200):
+    return a.rated_history(written(history(spark, sf_dir, ["incident_id", *a.CATEGORIES, *a.NUMBERS]), "history"), kept, trees=trees)
 
 
 _add("anomaly_features", lambda spark, sf_dir: _anomaly_rows(spark, sf_dir).select("incident_id", *[f"{x}_code" for x in a.CATEGORIES], "estimated_loss"),
      with_history(f"select incident_id, {', '.join(f'{x}_code' for x in a.CATEGORIES)}, estimated_loss::double as estimated_loss from f", _codes_sql(a.CATEGORIES)))
 _add("train_isolation_forest", lambda spark, sf_dir: a.train_isolation_forest(_anomaly_rows(spark, sf_dir), a.FEATURES, "incident_id"))
 for _name in ("score_isolation_forest", "historical_anomalies"):
-    _add(_name, lambda spark, sf_dir: _scored(spark, sf_dir).select("incident_id", "is_anomaly", "anomaly_score"))
-_add("score_incidents_detailed", lambda spark, sf_dir: _scored(spark, sf_dir).select("incident_id", "is_anomaly", "anomaly_score", "crime_severity", "crime_type", "district"))
+    _add(_name, lambda spark, sf_dir: _scored(spark, sf_dir))
+_add("score_incidents_detailed", lambda spark, sf_dir: _scored(spark, sf_dir, "crime_severity", "crime_type", "district"))
 
 
 def _flagged(spark, sf_dir):
