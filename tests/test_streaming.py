@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from vigil.operators.hotspots import emerging_hotspots
 from vigil.operators.anomaly import FEATURES, anomaly_features, score_isolation_forest, score_records
+from vigil.operators import live
+from vigil.operators.cleaning import validate_basic
 from vigil.operators.live import knowledge, process_incidents, scored
 from vigil.functions.expr import date_of
 from vigil.plans.risk import CHAIN_COLUMNS
@@ -171,3 +173,15 @@ def test_folded_parts_stay_few(spark, tmp_path, newest):
         assert {r.k: r.n for r in table.upto(batch).collect()} == want
         assert len(list((tmp_path / "t").glob("*=*"))) <= 3 * 3 + 2
     assert {r.k: r.n for r in table.upto().collect()} == want
+
+
+def test_rows_of_one_file_are_checked_by_many_tasks(spark, known):
+    df = arrivals(spark)
+    checked = live._checked(known, df.coalesce(1))
+    assert checked.select(F.spark_partition_id()).distinct().count() > 4
+    expected = validate_basic(df, known.domains)
+    assert checked.exceptAll(expected).isEmpty() and expected.exceptAll(checked).isEmpty()
+    counts = live._daily(df)
+    assert counts.exceptAll(live.arrived_counts(df)).isEmpty() and live.arrived_counts(df).exceptAll(counts).isEmpty()
+    plan = scored(known, df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1  # dealt before the checks, and not again before the trees
