@@ -42,6 +42,20 @@ def test_bpe_round_trip_keeps_the_columns(spark):
         assert bytes(r.decoded).decode() == (r.text or "")
 
 
+def test_bpe_leaves_nothing_behind_a_task():
+    codec = Codec(PATH, public_tokenizers.PATTERN)
+    text = "Some words, some more words."
+    with codec as c:
+        first = c.encode_all([text])[0].tolist()
+        assert c.known
+        for start in range(0, 240_000, 60_000):  # a few matches of each are words seen before
+            c.encode_all([" ".join(f"q{i:x}z" for i in range(start, start + 20_000))])
+            assert len(c.known) < 200_000
+    assert not c.known and not len(c.ids) and not len(c.sizes)
+    with codec as c:
+        assert c.encode_all([text])[0].tolist() == first
+
+
 def test_bpe_forgets_without_harm(monkeypatch, encoding):
     monkeypatch.setattr("vigil.llm.bpe.CACHE", 3)
     codec = Codec(PATH, public_tokenizers.PATTERN)

@@ -24,7 +24,7 @@ from vigil.llm.arrow_text import slices
 
 FIRST_CHAR = 0x4E00  # byte b stands as chr(FIRST_CHAR + b): letters that no normaliser or splitter treats specially
 SLICE = 2_000_000  # bytes of text whose ids are held at a time
-CACHE = 400_000  # matches whose ids a task remembers before it starts anew
+CACHE = 100_000  # matches whose ids a task remembers before it starts anew
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -76,7 +76,11 @@ def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
 
 
 class Codec:
-    """Encodes and decodes whole texts in one process."""
+    """Encodes and decodes whole texts in one process.
+
+    Matches are remembered within a ``with`` block, a task's, and forgotten at its end: the process stays for later tasks of
+    other kinds, beside which they would lie in an executor's memory.
+    """
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -92,6 +96,12 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self._forget()
 
+    def __enter__(self) -> Codec:
+        return self
+
+    def __exit__(self, *_error) -> None:
+        self._forget()
+
     def _forget(self) -> None:
         self.known: defaultdict[str, int] = defaultdict()  # matches by number, in order of appearance
         self.known.default_factory = self.known.__len__
@@ -149,16 +159,16 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "tex
         schema = schema.add(digest_col, "string")
 
     def run(batches):
-        c = codec(vocabulary, pattern)
-        for whole in batches:
-            for batch in slices(whole, text_col, SLICE):
-                ids = c.encode_all(batch.column(text_col).to_pylist())
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids), pa.int32()))
-                batch = batch.append_column(ids_col, lists)
-                if digest_col:
-                    batch = batch.append_column(digest_col, pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids], pa.string()))
-                yield batch
+        with codec(vocabulary, pattern) as c:
+            for whole in batches:
+                for batch in slices(whole, text_col, SLICE):
+                    ids = c.encode_all(batch.column(text_col).to_pylist())
+                    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids), pa.int32()))
+                    batch = batch.append_column(ids_col, lists)
+                    if digest_col:
+                        batch = batch.append_column(digest_col, pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids], pa.string()))
+                    yield batch
 
     return rows.mapInArrow(run, schema)
 
@@ -185,18 +195,18 @@ def token_digest(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
     schema = f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches):
-        c = codec(vocabulary, pattern)
         sha = hashlib.sha256
-        for whole in batches:
-            for batch in slices(whole, text_col, SLICE):
-                n, ids_sha, text_sha = [], [], []
-                for ids in c.encode_all(batch.column(text_col).to_pylist()):
-                    n.append(len(ids))
-                    ids_sha.append(sha(c.listed(ids)).hexdigest())
-                    text_sha.append(sha(c.decode(ids)).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(id_col), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)],
-                    names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        with codec(vocabulary, pattern) as c:
+            for whole in batches:
+                for batch in slices(whole, text_col, SLICE):
+                    n, ids_sha, text_sha = [], [], []
+                    for ids in c.encode_all(batch.column(text_col).to_pylist()):
+                        n.append(len(ids))
+                        ids_sha.append(sha(c.listed(ids)).hexdigest())
+                        text_sha.append(sha(c.decode(ids)).hexdigest())
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(id_col), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)],
+                        names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
+                    )
 
     return rows.mapInArrow(run, schema)
