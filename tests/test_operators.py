@@ -349,3 +349,34 @@ def test_quantile_by_step_is_the_quantile(spark, step):
         for share in (0.0, 0.05, 1.0):
             assert quantile_by_step(df, "v", share, "q", step).first().q == pytest.approx(np.quantile(values, share), abs=1e-12)
     assert quantile_by_step(df.limit(0), "v", 0.5, "q", step).first().q is None
+
+
+def test_values_of_a_history_have_their_codes_as_they_stand(spark):
+    """Each row's code is that of its cleaned value, without cleaning it or pairing it with that of ``Unknown`` again."""
+    given = ["  a ", "a", None, "", " ", "nan", "NaN", "Unknown", "b", "B"]
+    history = spark.createDataFrame([(f"i{i}", v, float(i)) for i, v in enumerate([*given, *given])], "incident_id string, district string, estimated_loss double")
+    history = history.withColumns({c: F.col("district") for c in anomaly.CATEGORIES} | {"latitude": F.lit(1.0), "longitude": F.lit(1.0)})
+    train, codes, unknown = anomaly._coded_history(history, "incident_id")
+    expected = cleaning.label_encode(history, codes["district"], "district")
+    assert {r.incident_id: r.district_code for r in train.collect()} == {r.incident_id: r.district_code for r in expected.collect()}
+    assert train.count() == 20 and dict(train.dtypes)["district_code"] == "bigint"
+    assert unknown["district"] == codes["district"].filter("value = 'Unknown'").first().code
+    plan = train._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "trim(" not in plan
+    arriving = spark.createDataFrame([(f"i{i}", v, float(i)) for i, v in enumerate([" b ", "c", None])], "incident_id string, district string, estimated_loss double")
+    arriving = arriving.withColumns({c: F.lit(None).cast("string") for c in anomaly.CATEGORIES if c != "district"} | {"latitude": F.lit(1.0), "longitude": F.lit(1.0)})
+    of = {r.value: r.code for r in codes["district"].collect()}
+    found = {r.incident_id: r.district_code for r in anomaly.coded(arriving, codes, unknown).collect()}
+    assert found == {"i0": of["b"], "i1": of["Unknown"], "i2": of["Unknown"]}
+
+
+def test_line_items_are_joined_once_for_orders_customers_and_nations(spark):
+    """The most rows must not be shuffled once more for the customers."""
+    from vigil.sources.incidents import history
+
+    plan = history(spark, "/root/testdata/sf0.001", ["district", "crime_type"])._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    (at,) = [i for i, line in enumerate(plan) if "Join Inner" in line and "c_custkey" in line]
+    below = plan[at + 1:]
+    end = next((i for i, line in enumerate(below) if depth(line) <= depth(plan[at])), len(below))
+    assert not any("l_orderkey" in line for line in below[:end])
