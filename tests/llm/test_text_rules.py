@@ -1,9 +1,11 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from conftest import same_rows
@@ -56,6 +58,27 @@ def test_bpe_leaves_nothing_behind_a_task():
         assert c.encode_all([text])[0].tolist() == first
 
 
+def test_bpe_task_gives_its_memory_back(spark, monkeypatch):
+    """What the task of the pipeline's last stage leaves in a Python worker, in MB above what the codec itself takes."""
+    docs = spark.createDataFrame([(1, "x", "en", "a")], "doc_id long, text string, lang string, source string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    task = encoded(docs, PATH, public_tokenizers.PATTERN, digest_col="decoded_sha256")
+    rng = random.Random(3)
+
+    def batch(i):
+        found = [" ".join(f"{rng.randrange(1 << 30):x}" for _ in range(300)) for _ in range(2500)]
+        return pa.RecordBatch.from_pydict({"doc_id": [i] * len(found), "text": found, "lang": ["en"] * len(found), "source": ["a"] * len(found)})
+
+    def used():
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    assert sum(b.num_rows for b in task(batch(i) for i in range(1))) == 2500
+    least = used()
+    most = max(used() for _ in task(batch(i) for i in range(2)))
+    left = used()
+    assert most > least + 20 and left < least + 0.5 * (most - least)
+
+
 def test_bpe_forgets_without_harm(monkeypatch, encoding):
     monkeypatch.setattr("vigil.llm.bpe.CACHE", 3)
     codec = Codec(PATH, public_tokenizers.PATTERN)

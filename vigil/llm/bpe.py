@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from vigil.llm.arrow_text import slices
+from vigil.llm.arrow_text import lean, slices
 
 FIRST_CHAR = 0x4E00  # byte b stands as chr(FIRST_CHAR + b): letters that no normaliser or splitter treats specially
-SLICE = 2_000_000  # bytes of text whose ids are held at a time
+SLICE = 500_000  # bytes of text whose ids are held at a time
 CACHE = 100_000  # matches whose ids a task remembers before it starts anew
 
 
@@ -127,7 +127,7 @@ class Codec:
         if len(self.known) > CACHE:
             self._forget()
         number = self.known.__getitem__
-        split = [self.split(t) if t else [] for t in texts]
+        split = (self.split(t) if t else [] for t in texts)  # the matches of one text at a time
         at = [np.fromiter(map(number, matches), np.int64, len(matches)) for matches in split]
         self._learn()
         starts = np.cumsum(self.sizes) - self.sizes
@@ -170,7 +170,7 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "tex
                         batch = batch.append_column(digest_col, pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids], pa.string()))
                     yield batch
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def decoded(rows: DataFrame, vocabulary: str, pattern: str, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
@@ -183,7 +183,7 @@ def decoded(rows: DataFrame, vocabulary: str, pattern: str, ids_col: str = "toke
             out = [None if ids is None else c.decode(np.array(ids, np.int64)) for ids in batch.column(ids_col).to_pylist()]
             yield batch.append_column(bytes_col, pa.array(out, pa.binary()))
 
-    return rows.mapInArrow(run, StructType(list(rows.schema)).add(bytes_col, "binary"))
+    return rows.mapInArrow(lean(run), StructType(list(rows.schema)).add(bytes_col, "binary"))
 
 
 def token_digest(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,4 +209,4 @@ def token_digest(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
                         names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
                     )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

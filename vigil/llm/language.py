@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from vigil.llm.arrow_text import slices, utf8
+from vigil.llm.arrow_text import lean, slices, utf8
 from vigil.llm.text import apart
 from vigil.shared import written
 
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, per_language: int = 300, clusters: int = 4, rounds: int
                     names=["lang", "rank", "dims", "counts"],
                 )
 
-    vectors = written(sample.mapInArrow(vectorise, "lang string, rank int, dims array<int>, counts array<long>"), "ngrams")
+    vectors = written(sample.mapInArrow(lean(vectorise), "lang string, rank int, dims array<int>, counts array<long>"), "ngrams")
     texts = vectors.count()
     idf = np.full(DIMS, np.log1p(texts), np.float64)
     for row in vectors.select(F.explode("dims").alias("dim")).groupBy("dim").count().collect():
@@ -202,7 +202,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     rows = docs.drop("_lang", "_score", "_accepted")
     schema = StructType(list(rows.schema)).add("_lang", "string").add("_score", "double").add("_accepted", "boolean")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def held_out(id_col: str) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.graph import components
-from vigil.llm.arrow_text import Words, mix, slices
+from vigil.llm.arrow_text import Words, give_back, lean, mix, slices
 from vigil.llm.text import apart
 from vigil.shared import written
 
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
                     names=["row", "id", "text_hash", "set", "n", "bands"],
                 )
 
-    return docs.mapInArrow(run, "row long, id long, text_hash long, set binary, n long, bands array<long>")
+    return docs.mapInArrow(lean(run), "row long, id long, text_hash long, set binary, n long, bands array<long>")
 
 
 def gram_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -100,7 +100,7 @@ def gram_sets(docs: DataFrame, size: int) -> DataFrame:
                     [batch.column("id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "grams"]
                 )
 
-    return docs.mapInArrow(run, "id long, grams array<long>")
+    return docs.mapInArrow(lean(run), "id long, grams array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -173,8 +173,14 @@ def crowded_links(crowded: DataFrame, sets: DataFrame, threshold: float) -> tupl
     dealt = members.join(written(blocks, "blocks"), "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+
+    def compared(rows: pd.DataFrame) -> pd.DataFrame:
+        out = block_links(rows, threshold)
+        give_back()
+        return out
+
     met = dealt.select("cluster", "i", "j", "block", "id").join(sets, "id").groupBy("cluster", "i", "j").applyInPandas(
-        lambda rows: block_links(rows, threshold), "id long, links long, label long"
+        compared, "id long, links long, label long"
     )
     return members.select("id", "cluster"), written(met, "crowded")
 
